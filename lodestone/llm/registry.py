@@ -17,6 +17,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS g FROM t),
+f AS (SELECT g, min(doc_id) AS least FROM h GROUP BY g HAVING count(*) > 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM h JOIN f USING (g) WHERE least < doc_id),
+rs AS (SELECT doc_id, list(q ORDER BY q) AS q FROM r GROUP BY doc_id),
+s AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(q), 0) AS n_removed,
+         CASE WHEN q IS NULL THEN 0 ELSE len(list_filter(range(1, len(q) + 1), lambda i: i = 1 OR q[i] <> q[i - 1] + 1)) END AS n_spans,
+         CASE WHEN q IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(q, i)), lambda i: w[i]) END AS kept
+  FROM d LEFT JOIN rs USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256, n_spans FROM s
+"""
+
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -28,8 +52,8 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op8_substring_dedup": op8_substring_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracles() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
