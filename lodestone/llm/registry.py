@@ -17,6 +17,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -52,8 +58,8 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_substring_dedup": op8_substring_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_suffix_dedup": op3_suffix_dedup, "op8_substring_dedup": op8_substring_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_suffix_dedup": op3_suffix_dedup, "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
