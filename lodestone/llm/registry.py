@@ -11,6 +11,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc
+
+    return warc(table(spark, sf_dir, "pages")).drop("file", "offset")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
+FROM q
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -23,6 +40,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe
+
+    return bpe(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -58,8 +87,9 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_suffix_dedup": op3_suffix_dedup, "op8_substring_dedup": op8_substring_dedup, "op10_exact_dedup": op10_exact_dedup}
+    found = (op3_suffix_dedup, op4_bpe, op5_language_id, op8_substring_dedup, op9_warc, op10_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_suffix_dedup": op3_suffix_dedup, "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_suffix_dedup": op3_suffix_dedup, "op8_substring_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
