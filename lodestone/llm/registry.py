@@ -52,6 +52,32 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_sql() -> str:
+    """Every window of every document against every notice, without retrieval."""
+    from .license_scan import NOTICES, PIECE, SHINGLE, STEP, WINDOW
+
+    quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for i, (a, b) in enumerate(NOTICES))
+    span = WINDOW - SHINGLE + 1
+    assert STEP == WINDOW - PIECE + 1
+    grams = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+g AS (SELECT doc_id, {grams} AS g FROM d WHERE len(w) >= 3),
+n AS (SELECT license_id, list_distinct({grams}) AS t FROM (
+  SELECT license_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (VALUES {quoted}) AS v(template, license_id, text))),
+c AS (SELECT doc_id, g, license_id, t FROM g, n WHERE list_has_any(g, t)),
+s AS (SELECT *, unnest(range(0, len(g), {STEP})) AS p FROM c),
+r AS (SELECT doc_id, license_id, len(list_intersect(t, g[greatest(0, p - len(t)) + 1 : p + {span} + len(t)])) / len(t) AS containment FROM s)
+SELECT doc_id, license_id, max(containment) AS containment FROM r WHERE containment >= 0.8 GROUP BY ALL
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -87,9 +113,9 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_suffix_dedup, op4_bpe, op5_language_id, op8_substring_dedup, op9_warc, op10_exact_dedup)
+    found = (op3_suffix_dedup, op4_bpe, op5_language_id, op7_license_scan, op8_substring_dedup, op9_warc, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_suffix_dedup": op3_suffix_dedup, "op8_substring_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_license_scan": op7_sql(), "op8_substring_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
