@@ -57,6 +57,22 @@ def _repeats(order: np.ndarray, prefix: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
+def _parts(rolling: common.Rolling, starts: np.ndarray, span: int, most: int):
+    """The starts whose `span` bytes may occur twice, in parts of about `most`; equal strings share a part."""
+    h = rolling.of(starts, starts + span)
+    order = np.argsort(h)
+    ranked = h[order]
+    near = np.zeros(len(h), bool)
+    near[1:] = ranked[1:] == ranked[:-1]
+    new = np.flatnonzero(~near)
+    near[:-1] |= near[1:]
+    edge = np.concatenate([new[np.flatnonzero(np.diff(new // most, prepend=-1))], [len(h)]])
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        some = order[i:j][near[i:j]]
+        if len(some):
+            yield some
+
+
 class _Block:
     """A block's text with its anchors.
 
@@ -97,7 +113,7 @@ class _Block:
             anchor = (low & _LOW).astype(np.int64)
             edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             runs.append(np.stack([edge + s, np.diff(edge, append=len(anchor)), anchor[edge] + s], 1))
-            keys.append(h[anchor[edge]])
+            keys.append(common.mix(h[anchor[edge]]))  # the least of many hashes are small: spread them over buckets again
         run = np.concatenate(runs) if runs else np.zeros((0, 3), np.int64)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         # starts whose string leaves its document don't count: a run is cut at the document's last start
@@ -152,7 +168,7 @@ class _Block:
         return list(seen), first[order], order, which, start, count, key, doc
 
 
-def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes: int = 4 << 20, least_blocks: int = 48, hot: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes: int = 4 << 20, least_blocks: int = 48, hot: int = 1024, most: int = 100_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes.
 
     Texts count as UTF-8 bytes (null: empty). A byte goes if a `span`-byte string covers it that also starts
@@ -162,8 +178,8 @@ def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes:
 
     First every block sends the hashes of its anchors, and buckets answer which occur twice. Then only the text
     around those goes to the bucket of its anchor, each distinct string once from a block with its first place.
-    The bucket puts all starts in suffix order; where the longest previous factor of a start reaches `span`, an
-    earlier copy exists. An anchor that occurs `hot` times or more is dealt by its whole strings, so no bucket
+    The bucket puts starts in suffix order, about `most` at a time, all starts of equal strings together; where the
+    longest previous factor of a start reaches `span`, an earlier copy exists. An anchor that occurs `hot` times or more is dealt by its whole strings, so no bucket
     gathers all that surrounds one passage.
     """
     import pyarrow as pa
@@ -235,9 +251,12 @@ def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes:
         count, doc, at = (np.concatenate([g[k] for g in got]) for k in range(3))
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         starts = np.repeat(np.cumsum(count + span - 1) - (count + span - 1), count) + inner
-        order = np.lexsort((np.repeat(at, count) + inner, np.repeat(doc, count)))
-        later = np.empty(len(starts), bool)
-        later[order] = _repeats(*suffix_order(buf, starts[order], span), span)
+        context = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        later = np.zeros(len(starts), bool)
+        for part in _parts(common.Rolling(buf), starts, span, most):
+            c = context[part]
+            ranked = part[np.lexsort((at[c] + inner[part], doc[c]))]
+            later[ranked] = _repeats(*suffix_order(buf, starts[ranked], span), span)
         cut = np.cumsum([0] + [int(g[0].sum()) for g in got])
         return pa.table({
             "block": table.column("block"),
