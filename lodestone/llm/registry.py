@@ -34,6 +34,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
@@ -125,7 +131,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_decontamination, op3_suffix_dedup, op4_bpe, op5_language_id, op6_line_dedup, op7_license_scan, op8_substring_dedup, op9_warc, op10_exact_dedup)
+    found = (op1_near_dedup, op2_decontamination, op3_suffix_dedup, op4_bpe, op5_language_id, op6_line_dedup, op7_license_scan, op8_substring_dedup, op9_warc, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
