@@ -1,4 +1,593 @@
 """Registered queries by name, and the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, normal, text
+from ..operators import audit, extract, ingest, score, stix, validate
+from ..sources import writers
+from . import report
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+INGESTED = "2026-05-19 00:00:00"
+
+#: Report text over events, in SQL that both engines read; {sha256} differs.
+REPORT = (
+    "concat('Patched CVE-2024-', lpad(cast(event_id as string), 5, '0'), ' and cve-2023-', cast(1000 + event_id % 9000 as string), '. Dropper ', md5(cast(event_id as string)), ' / ', "
+    "sha1(cast(event_id as string)), ' / ', upper({sha256}), ' from AS0', cast(user_id as string), ' at ', cast(event_id % 256 as string), '.', cast(user_id % 256 as string), '.', "
+    "cast(event_id * 7 % 256 as string), '.', cast(event_id % 250 as string), ' via HTTPS://Cdn', cast(user_id as string), '.Example.Com/Pay?id=', cast(event_id as string), '# (mail a.b', "
+    "cast(event_id as string), '@Mail', cast(user_id as string), '.example.net)')"
+)
+CORPUS_SQL = f"corpus AS (SELECT doc_id, text FROM documents UNION ALL SELECT event_id + 1000000000 AS doc_id, {REPORT.format(sha256='sha256(cast(event_id as string))')} AS text FROM events)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and a synthesised threat report for each event."""
+    made = table(spark, sf_dir, "events").select((F.col("event_id") + 1000000000).alias("doc_id"), F.expr(REPORT.format(sha256="sha2(cast(event_id as string), 256)")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(made)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.matches(extract.whole_documents(corpus(spark, sf_dir)))
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with what a report needs to know about its document."""
+    return corpus(spark, sf_dir).select(
+        "doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Title "), F.col("doc_id").cast("string"))).alias("title"), F.concat(F.lit("file:///"), F.col("doc_id").cast("string")).alias("source_uri"),
+        F.lit(INGESTED).cast("timestamp").alias("ingested_at"),
+    )
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- SQL of extraction ---
+
+_DUCK_PATTERNS = {
+    **{k: (r"[A-Fa-f0-9]{32,}", f"length(raw) = {n}") for k, n in (("sha512", 128), ("sha256", 64), ("sha1", 40), ("md5", 32))},
+    **{k: (fixed.PATTERNS[k], "true") for k in ("ipv4", "url", "email", "domain", "cve", "asn")},
+}
+_TLD_SQL = "(" + ", ".join(f"'{t}'" for t in fixed.TLDS) + ")"
+
+
+def _domain_sql(v: str) -> str:
+    d = f"regexp_replace(lower({v}), '\\.+$', '')"
+    return f"CASE WHEN contains({d}, '.') AND list_last(string_split({d}, '.')) IN {_TLD_SQL} AND NOT contains({d}, '..') AND NOT starts_with({d}, '.') THEN {d} END"
+
+
+def _ipv4_sql(v: str) -> str:
+    o = [f"try_cast(split_part({v}, '.', {i}) AS int)" for i in (1, 2, 3, 4)]
+    return (
+        f"CASE WHEN NOT ({o[0]} IN (0, 10, 127) OR {o[0]} >= 224 OR ({o[0]} = 169 AND {o[1]} = 254) OR ({o[0]} = 172 AND {o[1]} BETWEEN 16 AND 31) OR ({o[0]} = 192 AND {o[1]} = 168)"
+        f" OR ({o[0]} = 192 AND {o[1]} = 0 AND {o[2]} = 0 AND {o[3]} NOT IN (9, 10)) OR ({o[0]} = 192 AND {o[1]} = 0 AND {o[2]} = 2) OR ({o[0]} = 198 AND {o[1]} IN (18, 19))"
+        f" OR ({o[0]} = 198 AND {o[1]} = 51 AND {o[2]} = 100) OR ({o[0]} = 203 AND {o[1]} = 0 AND {o[2]} = 113)) THEN {v} END"
+    )
+
+
+def _url_sql(v: str) -> str:
+    p = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+    part = lambda i: f"regexp_extract({v}, '{p}', {i}, 's')"
+    netloc = f"lower({part(2)})"
+    host = f"regexp_extract(list_last(string_split({netloc}, '@')), '^([^:]*)', 1)"
+    ip = f"(regexp_full_match({host}, '(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') AND ({_ipv4_sql(host)}) IS NOT NULL)"
+    rebuilt = f"lower({part(1)}) || '://' || {netloc} || regexp_replace({part(3)}, '(^|/)([^/;]*);$', '\\1\\2') || CASE WHEN {part(4)} = '?' THEN '' ELSE {part(4)} END || CASE WHEN {part(5)} = '#' THEN '' ELSE {part(5)} END"
+    return f"CASE WHEN lower({part(1)}) IN ('http', 'https') AND NOT contains({netloc}, '[') AND (({_domain_sql(host)}) IS NOT NULL OR {ip}) THEN {rebuilt} END"
+
+
+_NORM_SQL = {
+    **{k: "lower(raw)" for k in ("sha512", "sha256", "sha1", "md5")},
+    "ipv4": _ipv4_sql("raw"),
+    "url": _url_sql("raw"),
+    "email": f"regexp_extract(raw, '^(.*)@', 1) || '@' || {_domain_sql('''list_last(string_split(raw, '@'))''')}",
+    "domain": _domain_sql("raw"),
+    "cve": "upper(raw)",
+    "asn": "CASE WHEN cast(substr(raw, 3) AS bigint) > 0 THEN 'AS' || cast(cast(substr(raw, 3) AS bigint) AS string) END",
+}
+
+
+def _matches_sql(source: str = "corpus", extra: str = "doc_id", types=None) -> str:
+    """CTEs that end in m: extra columns, type, ord, raw, normalized, char_start (within the text)."""
+    parts, names = [], []
+    for k, (p, keep) in _DUCK_PATTERNS.items():
+        if types and k not in types:
+            continue
+        q = p.replace("'", "''")
+        parts.append(
+            f"x_{k} AS (SELECT {extra}, regexp_extract_all(text, '{q}') AS m, string_split_regex(text, '{q}') AS g FROM {source} WHERE text IS NOT NULL),\n"
+            f"u_{k} AS (SELECT {extra}, m[i] AS raw, cast(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS bigint) AS char_start"
+            f" FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x_{k})),\n"
+            f"m_{k} AS (SELECT * FROM (SELECT {extra}, '{k}' AS type, {fixed.TYPES.index(k)} AS ord, raw, {_NORM_SQL[k]} AS normalized, char_start FROM u_{k} WHERE {keep}) WHERE normalized IS NOT NULL)"
+        )
+        names.append(f"SELECT * FROM m_{k}")
+    return ",\n".join(parts) + ",\nm AS (" + " UNION ALL ".join(names) + ")"
+
+
+_EID = "'e-' || sha256({chunk} || '|' || char_start || '|' || (char_start + length(raw)) || '|' || type)[1:32]"
+_ALL = f"WITH {CORPUS_SQL},\n{_matches_sql()}"
+_EVIDENCE = f"{_ALL},\ne AS (SELECT *, 'c-' || doc_id || '-0' AS chunk_id, char_start + length(raw) AS char_end, {_EID.format(chunk=chr(39) + 'c-' + chr(39) + ' || doc_id || ' + chr(39) + '-0' + chr(39))} AS evidence_id FROM m)"
+_DEDUP = f"""{_EVIDENCE},
+i AS (SELECT doc_id, type, normalized, min(ord) AS ord, min(char_start) AS first_start, arg_min(raw, char_start) AS value, count(DISTINCT evidence_id) AS n_evidence,
+             string_agg(evidence_id, '|' ORDER BY char_start) AS evidence_ids FROM e GROUP BY doc_id, type, normalized)"""
+_PATTERN_SQL = "CASE type " + " ".join(
+    "WHEN '{}' THEN '{}' || {} || '{}'".format(k, t.split("{n}")[0].replace("'", "''"), {"asn": "substr(normalized, 3)", "url": "replace(normalized, '''', '''''')", "email": "replace(normalized, '''', '''''')"}.get(k, "normalized"), t.split("{n}")[1].replace("'", "''"))
+    for k, t in fixed.STIX_PATTERNS.items()
+) + " END"
+
+
+def _uuid5_sql(name: str) -> str:
+    x = f"sha1(unhex('{fixed.NAMESPACE.replace('-', '')}') || encode({name}))"
+    return f"(SELECT x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || '89ab'[(('0x' || x[17:17])::int % 4) + 1] || x[18:20] || '-' || x[21:32] FROM (SELECT {x} AS x))"
+
+
+_STIX = f"""{_DEDUP},
+p AS (SELECT *, {_PATTERN_SQL} AS pattern FROM i),
+s AS (SELECT *, 'indicator--' || {_uuid5_sql("doc_id || '|stix|' || pattern")} AS id FROM p WHERE pattern IS NOT NULL),
+r AS (SELECT doc_id, 'report--' || {_uuid5_sql("doc_id || '|report'")} AS id, CASE WHEN doc_id % 2 = 0 THEN 'Title ' || doc_id ELSE 'Report ' || doc_id END AS name, 'file:///' || doc_id AS description,
+             list(id ORDER BY ord, first_start, id) AS object_refs FROM s GROUP BY doc_id),
+b AS (SELECT doc_id, 'bundle--' || {_uuid5_sql("array_to_string(list_sort(list_distinct(list_append(object_refs, id))), '|')")} AS bundle_id FROM r)"""
+_T = "2026-05-19T00:00:00.000Z"
+
+
+# --- extraction ---
+
+
+def _one(kind: str):
+    def run(spark, sf_dir):
+        return found(spark, sf_dir).where((F.col("type") == kind) & F.col("error_code").isNull()).select("doc_id", "char_start", "char_end", "value", "normalized")
+
+    run.__name__ = f"ioc_{kind}"
+    sql = None if kind == "ipv6" else f"WITH {CORPUS_SQL},\n{_matches_sql(types=(kind,))}\nSELECT doc_id, char_start, char_start + length(raw) AS char_end, raw AS value, normalized FROM m"
+    query(sql)(run)
+
+
+for _kind in fixed.TYPES:
+    _one(_kind)
+
+
+@query(f"{_EVIDENCE}\nSELECT doc_id, chunk_id, type, raw AS text_span, char_start, char_end, evidence_id FROM e")
+def ioc_evidence(spark, sf_dir):
+    return extract.evidence(found(spark, sf_dir))
+
+
+@query(f"{_DEDUP}\nSELECT doc_id, type, normalized, value, evidence_ids, n_evidence, 1.0::double AS confidence FROM i")
+def ioc_dedup_doc(spark, sf_dir):
+    rows = extract.indicators(found(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "type", "normalized", "value", F.concat_ws("|", "evidence_ids").alias("evidence_ids"), F.size("evidence_ids").alias("n_evidence"), "confidence")
+
+
+_WINDOWS = """w0 AS (SELECT doc_id, text, unnest(range(0, greatest(0, cast(ceil((length(text) - 800) / 600.0) AS bigint)) + 1)) AS i FROM {source} WHERE length(text) > 0),
+w AS (SELECT doc_id, 'c-' || doc_id || '-' || i AS chunk_id, i * 600 AS pos, substr(text, i * 600 + 1, 800) AS text FROM w0)"""
+
+
+@query(
+    f"WITH {CORPUS_SQL},\n{_WINDOWS.format(source='corpus')},\n{_matches_sql('w', 'doc_id, chunk_id, pos')}\n"
+    "SELECT doc_id, chunk_id, type, normalized, arg_min(raw, char_start) AS value, min(pos + char_start) AS first_start, count(*) AS n_evidence FROM m GROUP BY doc_id, chunk_id, type, normalized"
+)
+def ioc_dedup(spark, sf_dir):
+    chunks = ingest.chunk_windows(corpus(spark, sf_dir))
+    rows = extract.indicators(extract.matches(chunks), "chunk_id")
+    return rows.select("doc_id", "chunk_id", "type", "normalized", "value", "first_start", F.size("evidence_ids").alias("n_evidence"))
+
+
+@query(f"{_ALL}\nSELECT type, count(*) AS n_matches, count(DISTINCT doc_id) AS n_documents, count(DISTINCT normalized) AS n_values FROM m GROUP BY type")
+def ioc_counts_by_type(spark, sf_dir):
+    rows = found(spark, sf_dir).groupBy("type", "doc_id", "normalized").agg(F.count("*").alias("n"))
+    return rows.groupBy("type").agg(F.sum("n").alias("n_matches"), F.count_distinct("doc_id").alias("n_documents"), F.count_distinct("normalized").alias("n_values"))
+
+
+@query(f"WITH p AS (SELECT page_id, url FROM pages)\nSELECT page_id, {_url_sql('url')} AS normalized FROM p")
+def url_normalized(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", normal.normalize("url", F.col("url")).alias("normalized"))
+
+
+def _refang_sql(v: str) -> str:
+    for _ in range(text.PASSES):
+        for p, new in fixed.DEFANG:
+            flags = "gi" if p.startswith("(?i)") else "g"
+            v = f"regexp_replace({v}, '{p.removeprefix('(?i)')}', '{new}', '{flags}')"
+    return v
+
+
+_DEFANGED = "replace(replace(replace(url, 'http', 'hXXp'), '://', '[://]'), '.', '[.]') || ' user[AT]mail(.)example[d]com ' || url"
+
+
+@query(f"SELECT page_id, {_refang_sql('(' + _DEFANGED + ')')} AS refanged FROM pages")
+def refang_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.refang(F.expr(_DEFANGED)).alias("refanged"))
+
+
+@query()
+def ioc_defanged(spark, sf_dir):
+    """Indicators of defanged text with spans of the original, by the exact lane."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.expr(_DEFANGED).alias("text"))
+    return extract.matches(extract.whole_documents(docs)).select("doc_id", "type", "normalized", "text_span", "char_start", "char_end", "evidence_id")
+
+
+# --- STIX ---
+
+
+def _built(spark, sf_dir) -> report.Report:
+    return report.build(described(spark, sf_dir))
+
+
+@query(f"{_STIX}\nSELECT DISTINCT type, normalized, pattern FROM p")
+def stix_pattern(spark, sf_dir):
+    rows = found(spark, sf_dir).select("type", "normalized").distinct()
+    return rows.withColumn("pattern", stix.pattern(F.col("type"), F.col("normalized")))
+
+
+@query(f"{_STIX}\nSELECT s.doc_id, s.id AS indicator_id, r.id AS report_id, 'relationship--' || {_uuid5_sql("s.id || '|indicates|' || r.id")} AS relationship_id FROM s JOIN r USING (doc_id)")
+def stix_ids(spark, sf_dir):
+    rows = _built(spark, sf_dir).indicators.select("doc_id", F.col("id").alias("indicator_id"), stix.report_id(F.col("doc_id")).alias("report_id"))
+    return rows.withColumn("relationship_id", stix.relationship_id(F.col("indicator_id"), F.lit("indicates"), F.col("report_id")))
+
+
+_DESCRIPTION = f"'Extracted by {fixed.EXTRACTOR}; backed by ' || n_evidence || ' evidence span(s).'"
+
+
+@query(f"{_STIX}\nSELECT doc_id, id, pattern, type || ': ' || normalized AS name, {_DESCRIPTION} AS description, 100 AS confidence, '{_T}' AS valid_from FROM s")
+def stix_indicators(spark, sf_dir):
+    return _built(spark, sf_dir).indicators.select("doc_id", "id", "pattern", "name", "description", "confidence", "valid_from")
+
+
+@query(f"{_STIX}\nSELECT doc_id, id, name, description, '{_T}' AS published, array_to_string(object_refs, '|') AS object_refs FROM r")
+def stix_reports(spark, sf_dir):
+    return _built(spark, sf_dir).reports.withColumn("object_refs", F.concat_ws("|", "object_refs"))
+
+
+@query(f"{_STIX}\nSELECT doc_id, bundle_id FROM b")
+def bundle_ids(spark, sf_dir):
+    return _built(spark, sf_dir).bundles.select("doc_id", "bundle_id")
+
+
+_J = "cast(to_json({}) AS string)"
+
+
+@query(
+    f"""{_STIX},
+j AS (SELECT doc_id, string_agg('{{"confidence":100,"created":"{_T}","description":' || {_J.format(_DESCRIPTION)} || ',"id":"' || id || '","indicator_types":["malicious-activity"],"modified":"{_T}","name":' || {_J.format("type || ': ' || normalized")}
+  || ',"pattern":' || {_J.format("pattern")} || ',"pattern_type":"stix","pattern_version":"2.1","spec_version":"2.1","type":"indicator","valid_from":"{_T}"}}', ',' ORDER BY ord, first_start, id) AS objects FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, '{{"created":"{_T}","description":' || {_J.format("description")} || ',"id":"' || id || '","modified":"{_T}","name":' || {_J.format("name")} || ',"object_refs":' || {_J.format("object_refs")}
+  || ',"published":"{_T}","report_types":["threat-report"],"spec_version":"2.1","type":"report"}}' AS head FROM r)
+SELECT doc_id, sha256('{{"id":"' || bundle_id || '","objects":[' || head || ',' || objects || '],"type":"bundle"}}') AS bundle_hash FROM b JOIN j USING (doc_id) JOIN h USING (doc_id)"""
+)
+def bundle_hash(spark, sf_dir):
+    return _built(spark, sf_dir).bundles.select("doc_id", "bundle_hash")
+
+
+@query(f"{_STIX}\nSELECT doc_id, true AS pydantic_ok, true AS parse_ok, true AS semantic_ok, true AS is_valid, 0::bigint AS n_issues FROM r")
+def validation_summary(spark, sf_dir):
+    return _built(spark, sf_dir).summary
+
+
+@query(f"{_STIX}\nSELECT doc_id, 'no_buildable_indicators' AS error_code FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM s)")
+def unbuildable_documents(spark, sf_dir):
+    return _built(spark, sf_dir).unbuildable
+
+
+@query(f"{_STIX}\nSELECT type, normalized, CASE type WHEN 'ipv4' THEN 'search dest_ip=\"' || normalized || '\"' WHEN 'domain' THEN 'search query=\"' || normalized || '\"' ELSE 'search url=\"' || normalized || '\"' END AS search FROM (SELECT DISTINCT type, normalized FROM i WHERE type IN ('ipv4', 'domain', 'url'))")
+def detection_searches(spark, sf_dir):
+    rows = found(spark, sf_dir).select("type", "normalized").distinct()
+    return rows.withColumn("search", writers.splunk_search(F.col("type"), F.col("normalized"))).where(F.col("search").isNotNull())
+
+
+# --- constraints and closures, over rows made to break them ---
+
+
+@query(
+    """SELECT event_id, list_filter([CASE WHEN event_id % 11 = 0 THEN 'type' END, CASE WHEN event_id % 7 = 0 THEN 'evidence_ids' END, CASE WHEN event_id % 5 = 0 THEN 'confidence' END, CASE WHEN event_id % 3 = 0 THEN 'extractor' END], lambda x: x IS NOT NULL).array_to_string('|') AS errors
+FROM events WHERE event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 3 = 0"""
+)
+def constraint_violations(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.when(e % 11 == 0, "mutex").otherwise("ipv4").alias("type"), F.lit("8.8.8.8").alias("value"), F.lit("8.8.8.8").alias("normalized"), F.when(e % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("e-0"))).alias("evidence_ids"),
+        F.when(e % 5 == 0, 1.5).otherwise(1.0).alias("confidence"), F.when(e % 3 == 0, "regex").otherwise(fixed.EXTRACTOR).alias("extractor"),
+    )
+    return validate.quarantine(rows, validate.ioc_rules())[1].select("event_id", F.concat_ws("|", "errors").alias("errors"))
+
+
+def _evidence_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("c-"), (F.col("event_id") % 50).cast("string")).alias("chunk_id"), F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("evidence_id"))
+
+
+@query("SELECT user_id AS doc_id, 'pydantic' AS layer, 'dangling_evidence_chunk' AS code, 'e-' || event_id AS target_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = e.user_id AND c.event_id % 50 = e.event_id % 50 AND c.event_id % 3 = 0)")
+def closure_evidence(spark, sf_dir):
+    rows = _evidence_rows(spark, sf_dir)
+    chunks = table(spark, sf_dir, "events").where(F.col("event_id") % 3 == 0).select(F.col("user_id").alias("doc_id"), F.concat(F.lit("c-"), (F.col("event_id") % 50).cast("string")).alias("chunk_id"))
+    return validate.evidence_closure(rows, chunks)
+
+
+@query("SELECT user_id AS doc_id, 'pydantic' AS layer, 'dangling_ioc_evidence' AS code, 'e-' || (event_id + k) AS target_id FROM events e, (VALUES (0), (1)) v(k) WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_id = e.event_id + k)")
+def closure_ioc(spark, sf_dir):
+    e = F.col("event_id")
+    iocs = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.array(F.concat(F.lit("e-"), e.cast("string")), F.concat(F.lit("e-"), (e + 1).cast("string"))).alias("evidence_ids"))
+    return validate.ioc_closure(iocs, _evidence_rows(spark, sf_dir))
+
+
+@query(
+    """WITH o AS (SELECT user_id AS doc_id, 'indicator--' || event_id AS id FROM events WHERE event_id % 4 <> 0),
+r AS (SELECT user_id AS doc_id, 'report--' || user_id AS id, unnest(list(DISTINCT 'indicator--' || event_id)) AS ref FROM events GROUP BY user_id)
+SELECT doc_id, 'semantic' AS layer, 'dangling_report_ref' AS code, id AS target_id FROM r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = r.doc_id AND o.id = r.ref)"""
+)
+def closure_report_refs(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.concat(F.lit("indicator--"), F.col("event_id").cast("string")).alias("id"))
+    reports = events.groupBy("doc_id").agg(F.collect_set("id").alias("object_refs")).select("doc_id", F.concat(F.lit("report--"), F.col("doc_id").cast("string")).alias("id"), "object_refs")
+    objects = events.where(F.col("event_id") % 4 != 0).select("doc_id", "id", F.lit(None).cast("array<string>").alias("object_refs"))
+    return validate.report_closure(reports.unionByName(objects))
+
+
+_RELS = "SELECT user_id AS doc_id, 'relationship--' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'report--1' ELSE 'indicator--' || event_id END AS source_ref, CASE WHEN event_id % 2 = 0 THEN 'malware--' ELSE 'identity--' END || event_id AS target_ref, CASE WHEN event_id % 5 = 0 THEN 'uses' ELSE 'indicates' END AS relationship_type FROM events"
+
+
+def _rels(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("lodestone_events")
+    return spark.sql(_RELS.replace("FROM events", "FROM lodestone_events"))
+
+
+@query(f"SELECT doc_id, 'semantic' AS layer, 'invalid_relationship_type' AS code, id AS target_id FROM ({_RELS}) WHERE starts_with(source_ref, 'indicator--') AND starts_with(target_ref, 'malware--') AND relationship_type <> 'indicates'")
+def rel_vocab_check(spark, sf_dir):
+    return validate.relationship_vocabulary(_rels(spark, sf_dir))
+
+
+@query(
+    f"""WITH r AS ({_RELS}), o AS (SELECT user_id AS doc_id, 'indicator--' || event_id AS id FROM events WHERE event_id % 7 <> 0)
+SELECT doc_id, 'semantic' AS layer, 'dangling_rel_source' AS code, id AS target_id FROM r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = r.doc_id AND o.id = r.source_ref)
+UNION ALL SELECT doc_id, 'semantic', 'dangling_rel_target', id FROM r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = r.doc_id AND o.id = r.target_ref)"""
+)
+def closure_relationships(spark, sf_dir):
+    objects = table(spark, sf_dir, "events").where(F.col("event_id") % 7 != 0).select(F.col("user_id").alias("doc_id"), F.concat(F.lit("indicator--"), F.col("event_id").cast("string")).alias("id"))
+    return validate.relationship_closure(_rels(spark, sf_dir), objects)
+
+
+# --- redaction and ingestion ---
+
+
+def _redact_sql(v: str) -> tuple[str, str]:
+    n = "0"
+    for p, new in fixed.REDACTIONS:
+        if "(?<!" in p:
+            continue  # no look-behind there; the tables hold no full IPv6 address
+        q = p.replace("'", "''")
+        n += f" + len(regexp_extract_all({v}, '{q}'))"
+        v = f"regexp_replace({v}, '{q}', '{new}', 'g')"
+    return v, n
+
+
+@query("SELECT doc_id, {} AS redacted, {} AS n_redacted FROM documents".format(*_redact_sql("text")))
+def redact_text(spark, sf_dir):
+    out, n = text.redact(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", out.alias("redacted"), n.alias("n_redacted"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, 'raw/' || sha256(text)[1:2] || '/' || sha256(text) AS key FROM documents")
+def raw_store_keys(spark, sf_dir):
+    return ingest.raw_keys(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY sha256(text)")
+def document_dedup(spark, sf_dir):
+    return ingest.distinct_documents(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN lang = 'en' THEN NULL ELSE 'unsupported_language' END AS error_code FROM documents")
+def language_gate(spark, sf_dir):
+    return ingest.language_gate(table(spark, sf_dir, "documents")).select("doc_id", "lang", "error_code")
+
+
+@query(f"WITH {_WINDOWS.format(source='documents')}\nSELECT doc_id, chunk_id, pos AS char_start, pos + length(text) AS char_end, sha256(text) AS text_sha, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS token_count FROM w")
+def chunk_windows(spark, sf_dir):
+    return ingest.chunk_windows(table(spark, sf_dir, "documents")).withColumn("text_sha", F.sha2("text", 256)).drop("text")
+
+
+_LINES = """l0 AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l1 AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS line FROM l0),
+l AS (SELECT doc_id, line, cast(coalesce(list_sum(list_transform(parts[1:line - 1], lambda z: length(z) + 1)), 0) AS bigint) AS char_start, parts[line] AS text FROM l1)"""
+
+
+@query(f"WITH {_LINES}\nSELECT doc_id, line, char_start, text FROM l")
+def line_offset_map(spark, sf_dir):
+    return ingest.lines(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_LINES}, q AS (SELECT doc_id, unnest(range(0, length(text), 137)) AS char_idx FROM documents)\nSELECT q.doc_id, char_idx, max(line) AS line FROM q JOIN l ON l.doc_id = q.doc_id AND l.char_start <= q.char_idx GROUP BY ALL")
+def offset_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(137)).cast("array<bigint>")).alias("char_idx"))
+    return ingest.lookup(asked, ingest.lines(docs), "line")
+
+
+@query(f"WITH {_WINDOWS.format(source='documents')}\nSELECT doc_id, chunk_id, position FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS position FROM w) WHERE position BETWEEN 4 AND 6")
+def chunk_page(spark, sf_dir):
+    return score.chunk_page(ingest.chunk_windows(table(spark, sf_dir, "documents")), page=1, size=3).select("doc_id", "chunk_id", "position")
+
+
+def _html_sql() -> str:
+    main = "regexp_extract(html, '<(article|main)\\b[^>]*>(.*?)</(?:article|main)>', 2, 'is')"
+    v = f"CASE WHEN {main} = '' THEN html ELSE {main} END"
+    v = f"regexp_replace({v}, '<!--.*?-->', ' ', 'gs')"
+    for tag in ("script", "style", "nav", "footer", "aside", "header", "form", "noscript"):
+        v = f"regexp_replace({v}, '<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'gis')"
+    v = f"regexp_replace({v}, '<[^>]*>', ' ', 'gs')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        v = f"replace({v}, '{a}', '{b}')"
+    return f"trim(regexp_replace({v}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, url, t AS text, CASE WHEN length(t) < 200 THEN 'article_too_short' END AS error_code FROM (SELECT page_id, url, {_html_sql()} AS t FROM pages)")
+def html_main_text(spark, sf_dir):
+    return ingest.html_documents(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS page FROM conversations WHERE length(text) < 50 AND turn % 2 >= 1")
+def ocr_gate(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", (F.col("turn") % 2).alias("n_images"))
+    return ingest.ocr_needed(pages).select("doc_id", "page")
+
+
+# --- audit ---
+
+_CHAIN = f"""c AS (SELECT user_id AS chain, list(event_id ORDER BY event_id) AS ids, list(replace(props, ' ', '') ORDER BY event_id) AS p FROM events GROUP BY user_id),
+h AS (SELECT chain, ids, p, unnest(range(1, len(ids) + 1)) AS i FROM c),
+a AS (SELECT chain, ids[i] AS id, list_reduce(p[1:i - 1], lambda a, x: sha256(a || '|' || x), '{fixed.GENESIS}') AS prev_hash, list_reduce(p[1:i], lambda a, x: sha256(a || '|' || x), '{fixed.GENESIS}') AS hash FROM h)"""
+
+
+def _chains(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("id"), F.replace("props", F.lit(" "), F.lit("")).alias("payload"))
+    return audit.build(rows)
+
+
+@query(f"WITH {_CHAIN}\nSELECT chain, id, prev_hash, hash FROM a")
+def audit_chain_build(spark, sf_dir):
+    return _chains(spark, sf_dir).drop("payload")
+
+
+@query("SELECT user_id AS chain, bool_and(event_id % 97 <> 0) AS ok, count(*) AS n_rows, min(CASE WHEN event_id % 97 = 0 THEN event_id END) AS first_bad_id FROM events GROUP BY user_id")
+def audit_verify(spark, sf_dir):
+    """Chains in which every 97th payload was changed after the fact."""
+    rows = _chains(spark, sf_dir).withColumn("payload", F.when(F.col("id") % 97 == 0, '{"k":-1}').otherwise(F.col("payload")))
+    return audit.verify(rows)
+
+
+@query(f"WITH {_CHAIN}\nSELECT chain, max(id) AS id, arg_max(hash, id) AS hash FROM a GROUP BY chain")
+def audit_head(spark, sf_dir):
+    return audit.heads(_chains(spark, sf_dir))
+
+
+@query("SELECT event_id, replace(props, ' ', '') AS canonical FROM events")
+def canonical_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.canonical_json(F.col("props")).alias("canonical"))
+
+
+# --- scores, review, retrieval, evaluation ---
+
+_SCORES = """WITH s AS (SELECT doc_id, round(0.25 * quality + 0.2 * (doc_id % 100) / 100.0 + 0.2 * (1 - toxic) + 0.2 * (doc_id % 7) / 7.0, 6) AS score FROM labels)"""
+
+
+def _scores(spark, sf_dir):
+    d = F.col("doc_id")
+    signals = {"extractor": F.col("quality"), "coverage": d % 100 / F.lit(100.0), "agreement": 1 - F.col("toxic"), "ontology": d % 7 / F.lit(7.0), "stix": F.lit(None)}
+    return table(spark, sf_dir, "labels").select("doc_id", score.confidence(**signals).alias("score"))
+
+
+@query(f"{_SCORES}\nSELECT doc_id, score, CASE WHEN score < 0.3 THEN 'reject' WHEN score < 0.55 THEN 'review' ELSE 'accept' END AS route FROM s")
+def confidence_score(spark, sf_dir):
+    return _scores(spark, sf_dir).withColumn("route", score.route(F.col("score")))
+
+
+@query(f"{_SCORES}\nSELECT cast(least(floor(score * 10), 9) AS int) AS bin, count(*) AS n FROM s GROUP BY 1")
+def confidence_histogram(spark, sf_dir):
+    return score.histogram(_scores(spark, sf_dir))
+
+
+@query(f"{_SCORES}\nSELECT id, score, position FROM (SELECT doc_id AS id, score, row_number() OVER (ORDER BY score, doc_id % 13 DESC, doc_id % 3 DESC, doc_id) AS position FROM s) WHERE position BETWEEN 21 AND 40")
+def review_queue(spark, sf_dir):
+    items = _scores(spark, sf_dir).select(F.col("doc_id").alias("id"), "score", (F.col("doc_id") % 13).alias("novelty"), (F.col("doc_id") % 3).alias("priority"))
+    return score.review_queue(items, page=1, size=20).select("id", "score", "position")
+
+
+@query(
+    """WITH a AS (SELECT doc_id, quality AS value FROM labels WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS value FROM labels WHERE doc_id % 7 <> 0)
+SELECT doc_id, CASE WHEN a.value IS NULL THEN 'add' WHEN b.value IS NULL THEN 'remove' ELSE 'replace' END AS op, a.value AS old, b.value AS new FROM a FULL JOIN b USING (doc_id) WHERE a.value IS DISTINCT FROM b.value"""
+)
+def review_diff(spark, sf_dir):
+    d, rows = F.col("doc_id"), table(spark, sf_dir, "labels")
+    auto = rows.where(d % 5 != 0).select("doc_id", F.col("quality").alias("value"))
+    edited = rows.where(d % 7 != 0).select("doc_id", F.when(d % 3 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("value"))
+    return score.review_diff(auto, edited, ["doc_id"])
+
+
+@query(
+    f"""{_ALL}, f AS (SELECT DISTINCT doc_id, type, normalized FROM m WHERE doc_id % 10 <> 0), g AS (SELECT DISTINCT doc_id, type, normalized FROM m WHERE doc_id % 7 <> 0),
+n AS (SELECT type, count(CASE WHEN f.doc_id IS NOT NULL AND g.doc_id IS NOT NULL THEN 1 END) AS tp, count(CASE WHEN g.doc_id IS NULL THEN 1 END) AS fp, count(CASE WHEN f.doc_id IS NULL THEN 1 END) AS fn
+  FROM f FULL JOIN g USING (doc_id, type, normalized) GROUP BY type)
+SELECT type, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM n"""
+)
+def ioc_eval_prf(spark, sf_dir):
+    rows = found(spark, sf_dir)
+    return score.prf(rows.where(F.col("doc_id") % 7 != 0), rows.where(F.col("doc_id") % 10 != 0))
+
+
+@query("SELECT 'r' || doc_id AS ref, CASE WHEN doc_id % 2 = 0 THEN 'missing' ELSE 'extra' END AS side FROM documents WHERE (doc_id % 2 = 0) <> (doc_id % 3 = 0)")
+def roundtrip_compare(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("ref"))
+    rows = score.roundtrip(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"))
+    return rows
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
+c AS (SELECT query_id, label AS corpus, vec_id, round(list_dot_product(embedding::double[], q::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q::double[], q::double[]))), 6) AS similarity FROM embeddings, q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus ORDER BY similarity DESC, vec_id) AS rank FROM c) WHERE rank <= 5"""
+)
+def typed_retrieval_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = [(r.vec_id, list(r.embedding)) for r in rows.where("vec_id < 5").collect()]
+    return score.nearest(rows, asked)
+
+
+_TERMS = ("the", "license", "ethe", "und")
+
+
+@query(
+    "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM documents), c AS (SELECT doc_id, "
+    + ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(_TERMS))
+    + " FROM w)\nSELECT doc_id, " + " + ".join(f"t{i}" for i in range(len(_TERMS))) + " AS score, " + " + ".join(f"cast(t{i} > 0 AS int)" for i in range(len(_TERMS))) + " AS n_terms FROM c ORDER BY score DESC, n_terms DESC, doc_id LIMIT 10"
+)
+def lexical_search(spark, sf_dir):
+    return score.lexical_search(table(spark, sf_dir, "documents"), list(_TERMS))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(value) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return score.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_run(spark, sf_dir):
+    return score.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT doc_id, type, normalized, count(DISTINCT extractor) AS n_extractors FROM (SELECT user_id AS doc_id, event_type AS type, 'v' || (event_id % 3) AS normalized, 'x' || (event_id % 4) AS extractor FROM events) GROUP BY ALL")
+def ensemble_agreement(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("type"), F.concat(F.lit("v"), (e % 3).cast("string")).alias("normalized"), F.concat(F.lit("x"), (e % 4).cast("string")).alias("extractor"))
+    return score.agreement(rows)
+
+
+@query(
+    """WITH a AS (SELECT n_name AS alias, n_nationkey AS entity_id FROM nation), m AS (SELECT c_custkey AS mention_id, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) || '.' ELSE 'nowhere' END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT mention_id, coalesce(e.entity_id, l.entity_id) AS entity_id, CASE WHEN e.entity_id IS NOT NULL THEN 'exact' WHEN l.entity_id IS NOT NULL THEN 'normalised' END AS stage
+FROM m LEFT JOIN a e ON e.alias = m.name LEFT JOIN a l ON regexp_replace(lower(l.alias), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(m.name), '[^a-z0-9]+', '', 'g')"""
+)
+def alias_resolution(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    k = F.col("c_custkey") % 3
+    mentions = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("mention_id"), F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lower("n_name"), F.lit("."))).otherwise("nowhere").alias("name"))
+    return score.resolve_aliases(mentions, nation.select(F.col("n_name").alias("alias"), F.col("n_nationkey").alias("entity_id")))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 'n' || user_id AS source_ref, 'n' || (event_id % 150) AS target_ref FROM events),
+w(node, hops) AS (SELECT 'n1', 0 UNION SELECT e.target_ref, w.hops + 1 FROM w JOIN e ON e.source_ref = w.node WHERE w.hops < 2)
+SELECT node, min(hops) AS hops FROM w GROUP BY node"""
+)
+def kg_traversal(spark, sf_dir):
+    edges = table(spark, sf_dir, "events").select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("source_ref"), F.concat(F.lit("n"), (F.col("event_id") % 150).cast("string")).alias("target_ref")).distinct()
+    return score.reachable(spark, edges, "n1", depth=2)
