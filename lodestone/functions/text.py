@@ -42,7 +42,7 @@ def spans(text: Column, pattern: str) -> Column:
 
 def defanged(text: Column) -> Column:
     """Whether any rewrite applies."""
-    return text.rlike("(?iU)hxxps?://|\\bfxp://|\\[://\\]|\\[\\.\\]|\\(\\.\\)|\\[d\\]|\\[at\\]|\\[@\\]|[​‌‍﻿]")
+    return text.rlike("(?iU)hxxps?://|\\bfxp://|\\[://\\]|\\[\\.\\]|\\(\\.\\)|(?-i:\\[d\\])|\\[at\\]|\\[@\\]|[​‌‍﻿]")
 
 
 def refang(text: Column) -> Column:
