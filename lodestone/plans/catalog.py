@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normal, text
-from ..operators import audit, extract, ingest, score, stix, validate
+from ..operators import audit, extract, ingest, records, score, stix, validate
 from ..sources import writers
 from . import report
 
@@ -591,3 +591,88 @@ SELECT node, min(hops) AS hops FROM w GROUP BY node"""
 def kg_traversal(spark, sf_dir):
     edges = table(spark, sf_dir, "events").select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("source_ref"), F.concat(F.lit("n"), (F.col("event_id") % 150).cast("string")).alias("target_ref")).distinct()
     return score.reachable(spark, edges, "n1", depth=2)
+
+
+# --- records ---
+
+
+@query("SELECT doc_id, 1 + doc_id % 2 AS n_runs, 'run' || (1 + doc_id % 2) AS last_run, '2026.05.18' AS schema_version, sha256('{\"k\":5,\"name\":\"x\"}') AS config_hash FROM labels")
+def provenance_append(spark, sf_dir):
+    def run(name):
+        made = "2026-05-19 00:00:00"
+        return F.struct(F.lit(name).alias("name"), F.lit("1.0.0").alias("version"), F.lit(None).cast("string").alias("model"), F.lit(made).cast("timestamp").alias("started_at"), F.lit(made).cast("timestamp").alias("ended_at"), records.config_hash(name="x", k=5).alias("config_hash"))
+
+    empty = F.struct(F.array().cast(f"array<{records.RUN}>").alias("extractors"), F.lit("1.0.0").alias("pipeline_version"), F.lit(None).cast("string").alias("schema_version"))
+    one = table(spark, sf_dir, "labels").select("doc_id", records.append_run(empty, run("run1")).alias("p"))
+    both = one.select("doc_id", F.when(F.col("doc_id") % 2 == 1, records.append_run(F.col("p"), run("run2"))).otherwise(F.col("p")).alias("p"))
+    last = F.element_at("p.extractors", -1)
+    return both.select("doc_id", F.size("p.extractors").alias("n_runs"), last["name"].alias("last_run"), F.col("p.schema_version").alias("schema_version"), last["config_hash"].alias("config_hash"))
+
+
+@query("SELECT user_id AS doc_id, 'o' || (event_id % 20) AS id, max(event_id) AS position, arg_max(event_type, event_id) AS type FROM events GROUP BY ALL")
+def object_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("o"), (F.col("event_id") % 20).cast("string")).alias("id"), F.col("event_id").alias("position"), F.col("event_type").alias("type"))
+    return records.by_id(rows)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 <> 0")
+def cascade_delete(spark, sf_dir):
+    """Customers go, and with them their orders and those orders' items."""
+    customers = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select("o_custkey")
+    orders, items = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return records.cascade(customers, (orders, "o_orderkey", "o_custkey"), (items, "l_orderkey", "l_orderkey"))[1]
+
+
+_RATINGS = "SELECT event_id // 3 AS unit, event_id % 3 AS rater, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'same' END AS value FROM events"
+
+
+@query(
+    f"""WITH r AS ({_RATINGS}), c AS (SELECT unit, value, count(*) AS c FROM r GROUP BY ALL), p AS (SELECT *, sum(c) OVER (PARTITION BY unit) AS m FROM c), q AS (SELECT * FROM p WHERE m > 1),
+e AS (SELECT sum(v * v) AS s FROM (SELECT sum(c) AS v FROM q GROUP BY value)), o AS (SELECT sum(c * (m - c) / (m - 1)) AS d, sum(c)::bigint AS n FROM q)
+SELECT round(1 - (n - 1) * d / (n * n - s), 6) AS alpha, n FROM o, e"""
+)
+def krippendorff_alpha(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.floor(e / 3).alias("unit"), (e % 3).alias("rater"), F.when(e % 5 == 0, F.col("event_type")).otherwise("same").alias("value"))
+    return records.krippendorff(rows)
+
+
+@query(
+    """WITH g AS (SELECT user_id AS doc_id, 'T' || (1000 + event_id % 30) || CASE WHEN event_id % 2 = 0 THEN '.00' || (event_id % 4) ELSE '' END AS t FROM events WHERE event_id % 3 = 0),
+f AS (SELECT user_id AS doc_id, 'T' || (1000 + event_id % 30) || CASE WHEN event_id % 2 = 0 THEN '.00' || (event_id % 4) ELSE '' END AS t FROM events WHERE event_id % 4 = 0),
+m AS (SELECT 'exact' AS mode, 'g' AS side, doc_id, t FROM g UNION SELECT 'exact', 'f', doc_id, t FROM f UNION SELECT 'relaxed', 'g', doc_id, split_part(t, '.', 1) FROM g UNION SELECT 'relaxed', 'f', doc_id, split_part(t, '.', 1) FROM f),
+k AS (SELECT mode, doc_id, t, bool_or(side = 'g') AS g, bool_or(side = 'f') AS f FROM m GROUP BY mode, doc_id, t)
+SELECT mode, count(CASE WHEN g AND f THEN 1 END) AS tp, count(CASE WHEN NOT g THEN 1 END) AS fp, count(CASE WHEN NOT f THEN 1 END) AS fn,
+  round(2 * count(CASE WHEN g AND f THEN 1 END) / (2 * count(CASE WHEN g AND f THEN 1 END) + count(CASE WHEN NOT g THEN 1 END) + count(CASE WHEN NOT f THEN 1 END)), 6) AS f1 FROM k GROUP BY mode"""
+)
+def technique_f1(spark, sf_dir):
+    e = F.col("event_id")
+    t = F.concat(F.lit("T"), (1000 + e % 30).cast("string"), F.when(e % 2 == 0, F.concat(F.lit(".00"), (e % 4).cast("string"))).otherwise(""))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("doc_id"), t.alias("technique"))
+    return records.relaxed_f1(rows.where("event_id % 3 = 0"), rows.where("event_id % 4 = 0"))
+
+
+@query(f"{_DEDUP}\nSELECT type, normalized, count(DISTINCT doc_id) AS n_reports, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM i GROUP BY ALL HAVING count(DISTINCT doc_id) > 1")
+def shared_indicators(spark, sf_dir):
+    return records.aggregate_reports(found(spark, sf_dir).where(F.col("error_code").isNull()))
+
+
+_MARKED = "'# Part ' || doc_id || chr(10) || 'text of it' || chr(10) || '## Sub' || chr(10) || repeat('x', cast(doc_id % 40 as int)) || chr(10) || '# Last' || chr(10) || 'end'"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_MARKED} AS t FROM documents), p AS (SELECT doc_id, length(t) AS size, strpos(t, '## Sub') - 1 AS sub, strpos(t, '# Last') - 1 AS last FROM t)
+SELECT doc_id, 'Part ' || doc_id AS name, 1 AS level, 0 AS char_start, sub AS char_end FROM p UNION ALL SELECT doc_id, 'Sub', 2, sub, last FROM p UNION ALL SELECT doc_id, 'Last', 1, last, size FROM p"""
+)
+def markdown_sections(spark, sf_dir):
+    return ingest.sections(table(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKED.replace("chr(10)", "char(10)")).alias("text")))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_MARKED} AS t FROM documents), p AS (SELECT doc_id, strpos(t, '## Sub') - 1 AS sub, strpos(t, '# Last') - 1 AS last, unnest(range(0, length(t), 9)) AS char_start FROM t)
+SELECT doc_id, char_start, CASE WHEN char_start >= last THEN 'Last' WHEN char_start >= sub THEN 'Sub' ELSE 'Part ' || doc_id END AS section FROM p"""
+)
+def section_of_span(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKED.replace("chr(10)", "char(10)")).alias("text"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(9)).cast("array<bigint>")).alias("char_start"))
+    return ingest.enclosing(spans, ingest.sections(docs))
