@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -16,14 +19,35 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) only, so that extra columns can't clash; a null text is empty, a null id orders last."""
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) only, so that extra columns can't clash; a null text is empty, a null id orders last.
+
+    Columns to carry along are named carry0, carry1 and so on.
+    """
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)),
     )
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as the session names it; a new local one where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: nothing before it is planned or run again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def own_id(name: str = "doc_id") -> Column:
     """The id as it came in."""
     return F.nullif(F.col(name), F.lit(NULL_ID)).alias(name)

@@ -22,18 +22,6 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share, as the session names it; a new local one where it names none."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp()
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def record(headers: dict[str, str], http: bytes, payload: bytes) -> bytes:
     """A WARC/1.1 record. Header values lose control characters, which would end a line."""
     block = http + payload
@@ -191,7 +179,7 @@ def warc(pages: DataFrame, folder: str | None = None, archive_bytes: int = 16 <<
     written is listed in a table there before the next one starts, so a lost executor repeats no step's names.
     """
     spark = pages.sparkSession
-    top = folder or f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    top = folder or f"{common.shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     source = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(common.NULL_ID)).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     write_monolithic(source, f"{top}/crawl", archive_bytes).write.parquet(f"{top}/crawl-list")
     written = spark.read.parquet(f"{top}/crawl-list")
