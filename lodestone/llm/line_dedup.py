@@ -6,6 +6,8 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -41,9 +43,11 @@ class Lines:
         self.doc = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
 
     def masked(self, i: int, fields: np.ndarray | None = None) -> bytes:
-        """A line's tokens joined by a space, fields as marks."""
+        """A line from its first to its last token; with fields its tokens joined by a space, fields as marks."""
         a, n = self.first[i], self.n[i]
         hidden = (self.token[a : a + n] if fields is None else fields) == _FIELD
+        if not hidden.any():
+            return self.bytes[self.begin[a] : self.stop[a + n - 1]]
         return b" ".join([_MARK if h else self.bytes[p:q] for h, p, q in zip(hidden.tolist(), self.begin[a : a + n].tolist(), self.stop[a : a + n].tolist(), strict=True)])
 
 
@@ -86,7 +90,7 @@ class _Block:
 
     def __init__(self, table, depth: int, alike: float, min_docs: int, crowd: int):
         ids = table.column("doc_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        self.order = order = np.argsort(ids, kind="stable")
         texts = common.utf8(table.column("text"))
         self.ids, self.texts = ids[order], [texts[i] for i in order]
         self.lines = x = Lines(self.texts, depth)
@@ -112,11 +116,11 @@ class _Block:
         self.entry_of[full] = rank[entry[place]]
         self.leaf = x.leaf[at[kept]][order]
         self.text = lambda i: x.masked(int(at[kept[order[i]]]), fields.get(int(kept[order[i]])))
-        self.docs = _least_docs(self.entry_of[full], self.ids[x.doc[full]], min_docs)
+        self.docs = lambda: _least_docs(self.entry_of[full], self.ids[x.doc[full]], min_docs)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float = 0.7, block_bytes: int = 4 << 20, least_blocks: int = 48, crowd: int = 256) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_sha256, kept_text.
+def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float = 0.7, block_bytes: int = 4 << 20, least_blocks: int = 48, crowd: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, kept_sha256, kept_text, and the columns named in `carry`.
 
     Lines end at a newline; tokens are runs of anything but ASCII white space; a token with a digit is a variable
     field. Lines with as many tokens and the same `depth` leading tokens share a leaf of the tree, whatever their
@@ -133,19 +137,19 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     import pyarrow as pa
     import zstandard
 
-    dealt, n_blocks = common.in_blocks(common.documents(docs), block_bytes, least_blocks)
+    dealt, n_blocks = common.in_blocks(common.documents(docs, carry=carry), block_bytes, least_blocks)
     n_buckets = n_blocks
 
     def send(table):
         block = _Block(table, depth, alike, min_docs, crowd)
-        group, doc = block.docs
+        group, doc = block.docs()
         cut = np.searchsorted(common.bucket_of(block.leaf, n_buckets), np.arange(n_buckets + 1))
         part = np.searchsorted(group, cut)
         full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
         return pa.table({
             "bucket": pa.array(full, pa.int32()),
             "block": pa.array([table.column("block")[0].as_py()] * len(full), pa.int32()),
-            "lines": pa.array([zstandard.compress(b"\n".join([block.text(i) for i in range(cut[b], cut[b + 1])]), 3) for b in full], pa.binary()),
+            "lines": pa.array([zstandard.compress(b"\n".join([block.text(i) for i in range(cut[b], cut[b + 1])]), 1) for b in full], pa.binary()),
             "docs": pa.array([common.pack(np.diff(group[part[b] : part[b + 1]], prepend=cut[b]), doc[part[b] : part[b + 1]]) for b in full], pa.binary()),
         })
 
@@ -203,13 +207,18 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
             "n_removed": pa.array(np.add.reduceat(gone, begin[:-1]).astype(np.int64) if len(gone) else begin[:-1]),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+            **{f"carry{i}": left.column(f"carry{i}").take(pa.array(block.order)) for i in range(len(carry))},
         })
 
+    schema = T.StructType([
+        *(T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))),
+        *(T.StructField(f"carry{i}", docs.schema[c].dataType) for i, c in enumerate(carry)),
+    ])
     sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, lines binary, docs binary")
     judged = sent.groupBy("bucket").applyInArrow(judge, "block int, bucket int, firsts binary")
     return (
         dealt.groupBy("block")
         .cogroup(judged.groupBy("block"))
-        .applyInArrow(apply, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
-        .withColumn("doc_id", common.own_id())
+        .applyInArrow(apply, schema)
+        .select(common.own_id(), "n_lines", "n_removed", "kept_sha256", "kept_text", *(F.col(f"carry{i}").alias(c) for i, c in enumerate(carry)))
     )
