@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .warc import shared_folder
 
 _POS = np.uint64((1 << 24) - 1)
 K = 5  #: words of a k-mer
@@ -61,6 +60,13 @@ def sketches(h: np.ndarray, cut: np.ndarray, sketch: int, least: int) -> np.ndar
     return out
 
 
+def classed(keys: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray:
+    """Each key with two neighbouring length classes. Texts at the threshold or above have numbers of k-mers within its
+    ratio, so they are in one class or in neighbouring ones, and share a class."""
+    low = np.floor(np.log(count) / -np.log(threshold) + 1e-9).astype(np.uint64)[:, None]
+    return np.concatenate([common.mix(keys + (low + np.uint64(i)) * np.uint64(0x9FB21C651E98DF25)) for i in (0, 1)], 1)
+
+
 def align(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
     """Lengths of the runs of equal words along an alignment of fewest edits, or None if it needs over `most`.
 
@@ -102,31 +108,35 @@ def align(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
     return runs
 
 
-def similarity(a: np.ndarray, b: np.ndarray, floor: float) -> float:
-    """Jaccard similarity of two texts' 5-mers of words as far as an alignment matches them.
+class Text:
+    """A text ready to be compared."""
+
+    def __init__(self, text: bytes):
+        self.words, _ = common.words([text])
+        h, _ = kmers(self.words, np.array([0, len(self.words)]))
+        self.kmers = np.sort(labelled(h, np.zeros(len(h), np.int64)))
 
-    A bound without an alignment is returned where it is below `floor` already.
-    """
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    na, nb = max(1, len(a) - K + 1), max(1, len(b) - K + 1)
-    ha, hb = (np.sort(labelled(kmers(x, np.array([0, len(x)]))[0], np.zeros(max(1, len(x) - K + 1), np.int64))) for x in (a, b))
-    shared = len(np.intersect1d(ha, hb, assume_unique=True))
-    bound = shared / (na + nb - shared)
-    if bound < floor:
-        return bound
-    if min(len(a), len(b)) < K:
-        return bound
-    # at this similarity at most so many 5-mers differ, and each edit of a fewest-edits alignment lies in one of them
-    runs = align(a, b, na + nb - 2 * int(floor / (1 + floor) * (na + nb)) + 2 * K)
-    if runs is None:
-        return min(bound, floor - 1e-9)
-    met = sum(max(0, r - K + 1) for r in _joined(runs))
-    return met / (na + nb - met)
 
+def jaccard(a: Text, b: Text) -> float:
+    """Similarity of the texts' labelled k-mers; one minus it is a metric."""
+    if not len(a.kmers) or not len(b.kmers):
+        return float(len(a.kmers) == len(b.kmers))
+    both = np.sort(np.concatenate([a.kmers, b.kmers]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
 
-def _joined(runs: list[int]) -> list[int]:
-    return [r for r in runs if r]
+
+def linked(a: Text, b: Text, threshold: float) -> bool:
+    """Whether an alignment of fewest edits matches k-mers to the threshold. Only called if all k-mers reach it."""
+    n = len(a.kmers) + len(b.kmers)
+    if min(len(a.words), len(b.words)) < K:
+        return True
+    # of all k-mers at most this many are unmatched at the threshold, and a word edit leaves one at least
+    runs = align(a.words, b.words, n - 2 * int(threshold / (1 + threshold) * n) + 2 * K)
+    if runs is None:
+        return False
+    met = sum(max(0, r - K + 1) for r in runs)
+    return met >= (threshold - 1e-9) * (n - met)
 
 
 def _slices(batch, size: int = 2 << 20):
@@ -151,38 +161,38 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step takes the least label among neighbours and then that label's own label; it ends when no label changes.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")).checkpoint()
+    both = common.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         jump = low.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        following = jump.select("node", "old", F.least("label", "next").alias("label")).checkpoint()
+        following = common.cut(jump.select("node", "old", F.least("label", "next").alias("label")))
         changed = following.where(F.col("old") != F.col("label")).limit(1).count()
         labels = following.drop("old")
         if not changed:
             return labels
 
 
-def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least: int = 3) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, kept.
+def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least: int = 3, family: int = 4_000_000) -> DataFrame:
+    """One row per document: doc_id, class_id, kept, text_sha256 (of the text as it is).
 
     Two texts are linked if the Jaccard similarity of their word 5-mers, counted as far as an alignment matches them, is
     `threshold` or more; words are what white space separates. Classes are what links connect; class_id is the smallest
-    id in the class and kept says whether the row has it. n_links counts the different texts linked to the row's
-    (candidates that were verified). Texts of equal words are one text: null, empty and blank ones too. Rows that repeat
-    an id are judged each; a null id counts as the largest; extra columns are ignored.
+    id in the class and kept says whether the row has it. Texts of equal words are one text: null, empty and blank ones
+    too. Rows that repeat an id are judged each; a null id counts as the largest; extra columns are ignored.
 
     A pair at similarity s shares a sketch key with probability near 1 - (1 - s**least)**sketch: 0.99999 at 0.8.
-    Texts that share a key meet in rounds. Each round verifies a key's texts against one of them, the hub. Texts that
-    match it leave, unless they are so far from the hub that they may match one that failed (distances obey the triangle
-    inequality); the rest meets again. So no group is ever paired with itself, and a link is lost only where an
-    alignment with fewest edits isn't the one with most 5-mers.
+    Texts that keys connect form a family. One with up to `family` k-mers is solved in one task, where k-mers that only one
+    text has bound what it can share: few texts remain to be compared, and none that others connect already. Larger ones
+    are solved key by key. Of a key with more than `family` k-mers all texts are verified against one of them, the hub.
+    Those linked to it leave the key, unless they are so far from the hub that they may match one that isn't linked
+    (distances obey the triangle inequality); the rest meets again. So no large group is ever paired with itself. The
+    similarity of all k-mers decides first; alignment can only confirm it.
     """
     import pyarrow as pa
     import zstandard
 
-    shared_folder(docs.sparkSession)
     rows = common.documents(docs)
 
     def sign(batches):
@@ -190,59 +200,108 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least:
             for ids, texts in _slices(b):
                 words, before = common.words(texts)
                 h, cut = kmers(words, before)
-                keys = iter(sketches(h, cut, sketch, least).view(np.int64).tolist() if len(h) else [])
-                full = (np.diff(cut) > 0).tolist()
-                yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(t) for t in texts], pa.binary()), pa.array([next(keys) if f else [] for f in full], pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+                count = np.diff(cut)
+                full = (count > 0).tolist()
+                keys = iter(classed(sketches(h, cut, sketch, least), count[count > 0], threshold).view(np.int64).tolist() if len(h) else [])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(t) for t in texts], pa.binary()), pa.array([next(keys) if f else [] for f in full], pa.list_(pa.int64())), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(count, pa.int64())], names=["doc_id", "node", "keys", "sha", "size"])
 
     def pack(batches):
         for b in batches:
             for ids, texts in _slices(b):
                 yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(t) for t in texts], pa.binary()), pa.array([zstandard.compress(b" ".join(t.split()), 3) for t in texts], pa.binary())], names=["doc_id", "node", "packed"])
 
-    floor = max(0.0, 2 * threshold - 1)  # beyond it a distance can't matter to the triangle inequality
-
     def verify(batches):
         for b in batches:
-            out = []
+            distance, link = [], []
             for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
-                one, other = (common.words([zstandard.decompress(x)])[0] for x in (left, right))
-                out.append(1 - similarity(one, other, floor))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("hub"), pa.array(out, pa.float64())], names=["node", "hub", "distance"])
-
-    signed = rows.mapInArrow(sign, "doc_id long, node binary, keys array<long>").checkpoint()
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    placed = nodes.select("node", "rep", F.explode(F.array_distinct("keys")).alias("key"))
+                one, other = Text(zstandard.decompress(left)), Text(zstandard.decompress(right))
+                distance.append(1 - jaccard(one, other))
+                link.append(distance[-1] <= far and linked(one, other, threshold))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("hub"), pa.array(distance, pa.float64()), pa.array(link, pa.bool_())], names=["node", "hub", "distance", "link"])
+
+    def solve(table):
+        """Edges from each text of a family to the least one that links connect it to.
+
+        A text's k-mers that no other one has can't be shared, so its other k-mers bound every overlap. Two texts are
+        compared only if that bound and their sizes allow the threshold and nothing connects them yet.
+        """
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rep", "node", "packed")), strict=True))
+        texts = [Text(zstandard.decompress(r[2])) for r in rows]
+        n = np.array([len(t.kmers) for t in texts])
+        every = np.concatenate([t.kmers for t in texts])
+        order = np.argsort(every, kind="stable")
+        ranked, shared = every[order], np.zeros(len(every), bool)
+        same = ranked[1:] == ranked[:-1]
+        shared[order[1:]] |= same
+        shared[order[:-1]] |= same
+        common_kmers = np.add.reduceat(shared, np.cumsum(n) - n).astype(np.int64)
+        least = threshold / (1 + threshold)
+        turn = np.argsort(-common_kmers, kind="stable")
+        group = np.arange(len(rows))
+        for k in range(1, len(turn)):
+            i, before = turn[k], turn[:k]
+            if common_kmers[i] < threshold * n[i] - 1e-9:
+                continue
+            overlap = np.minimum(common_kmers[before], common_kmers[i])
+            near = before[(overlap >= least * (n[before] + n[i]) - 1e-9) & (group[before] != group[i])]
+            while len(near):
+                j, near = near[0], near[1:]
+                if 1 - jaccard(texts[i], texts[j]) <= far and linked(texts[i], texts[j], threshold):
+                    group[group == group[j]] = group[i]
+                    near = near[group[near] != group[i]]
+        least_node: dict[int, bytes] = {}
+        for g, row in zip(group.tolist(), rows, strict=True):
+            least_node[g] = min(row[1], least_node.get(g, row[1]))
+        star = [(row[1], least_node[g]) for g, row in zip(group.tolist(), rows, strict=True) if row[1] != least_node[g]]
+        return pa.table({"a": pa.array([x for x, _ in star], pa.binary()), "b": pa.array([x for _, x in star], pa.binary())})
+
+    far = 1 - threshold + 1e-9
+    signed = common.cut(rows.mapInArrow(sign, "doc_id long, node binary, keys array<long>, sha binary, size long"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    placed = nodes.select("node", "rep", "size", F.explode(F.array_distinct("keys")).alias("key"))
 
     def crowded(df: DataFrame) -> DataFrame:
-        """Rows of keys that more than one text has, with the hub of each."""
-        hubs = df.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        return df.join(hubs.select("key", F.col("first.node").alias("hub")), "key")
-
-    active = crowded(placed).checkpoint()
+        """Rows of keys that more than one text has: with load, the k-mers of all its texts, and hub, the text with the
+        most company in all its keys."""
+        many = df.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("load")).where("n > 1")
+        rows = common.cut(df.select("node", "rep", "size", "key").join(many, "key"))
+        company = rows.groupBy("node").agg(F.sum("n").alias("company"))
+        rows = rows.join(company, "node")
+        hubs = rows.groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "node")).alias("first"))
+        return common.cut(rows.drop("n", "company").join(hubs.select("key", F.col("first.node").alias("hub")), "key"))
+
+    active = crowded(placed)
     wanted = active.select("node", "rep").distinct()
-    texts = rows.mapInArrow(pack, "doc_id long, node binary, packed binary").join(wanted.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"]).groupBy("node").agg(F.first("packed").alias("packed")).checkpoint()
-    done = None
+    texts = common.cut(rows.mapInArrow(pack, "doc_id long, node binary, packed binary").join(wanted.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"]).groupBy("node").agg(F.first("packed").alias("packed")))
+    links = []
+
+    def solved(members: DataFrame, by: str) -> None:
+        found = members.join(texts, "node").select(by, "rep", "node", "packed").groupBy(by).applyInArrow(solve, "a binary, b binary")
+        links.append(common.cut(found))
+
+    label = components(active.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    sizes = active.groupBy("node", "rep").agg(F.first("size").alias("size"))
+    load = label.join(sizes, "node").groupBy("label").agg(F.sum("size").alias("load"))
+    sized = common.cut(label.join(load, "label").select("node", F.col("label").alias("family"), (F.col("load") <= family).alias("small")))
+    solved(sizes.join(sized.where("small"), "node"), "family")
+    active = common.cut(active.join(sized.where(~F.col("small")).select("node"), "node"))
     while active.limit(1).count():
-        met = active.where(F.col("node") != F.col("hub"))
+        solved(active.where(F.col("load") <= family), "key")
+        met = active.where((F.col("load") > family) & (F.col("node") != F.col("hub")))
         pairs = met.select("node", "hub").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["node", "hub"], "left_anti")
         read = pairs.join(texts.withColumnRenamed("packed", "left"), "node").join(texts.select(F.col("node").alias("hub"), F.col("packed").alias("right")), "hub")
-        found = read.select("node", "hub", "left", "right").mapInArrow(verify, "node binary, hub binary, distance double").checkpoint()
-        done = found if done is None else done.unionByName(found)
-        judged = met.join(done, ["node", "hub"]).select("key", "node", "rep", "distance")
-        nearest = judged.where(F.col("distance") > 1 - threshold + 1e-9).groupBy("key").agg(F.min("distance").alias("nearest"))
-        rest = judged.join(nearest, "key").where(F.col("distance") >= F.col("nearest") - (1 - threshold) - 1e-9)
-        active = crowded(rest.select("node", "rep", "key")).checkpoint()
-    ids = nodes.select("node", F.col("rep"))
-    if done is None:
-        classes = ids.select("node", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        links = done.where(F.col("distance") <= 1 - threshold + 1e-9).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().checkpoint()
-        label = components(links)
-        count = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        member = ids.join(label, "node").select("node", "rep", "label")
-        own = member.groupBy("label").agg(F.min("rep").alias("class_id"))
-        joined = member.join(own, "label").join(count, "node").select("node", "class_id", "n_links")
-        classes = ids.join(joined, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "node").join(classes, "node").select(common.own_id(), common.own_id("class_id"), "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        found = common.cut(read.select("node", "hub", "left", "right").mapInArrow(verify, "node binary, hub binary, distance double, link boolean"))
+        links.append(found.where("link").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        judged = met.join(found, ["node", "hub"]).select("key", "node", "rep", "size", "distance", "link")
+        nearest = judged.where(~F.col("link")).groupBy("key").agg(F.min("distance").alias("nearest"))
+        active = crowded(judged.join(nearest, "key").where(~F.col("link") | (F.col("distance") >= F.col("nearest") - far)))
+    ids = nodes.select("node", "rep")
+    joined = links[0]
+    for x in links[1:]:
+        joined = joined.unionByName(x)
+    member = ids.join(components(joined), "node").select("node", "rep", "label")
+    own = member.groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = ids.join(member.join(own, "label").select("node", "class_id"), "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))
+    return signed.select("doc_id", "node", "sha").join(classes, "node").select(
+        common.own_id(), common.own_id("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    )

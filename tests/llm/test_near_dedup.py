@@ -4,8 +4,7 @@ import random
 
 import numpy as np
 
-from lodestone.llm import common
-from lodestone.llm.near_dedup import align, near_dedup, similarity
+from lodestone.llm.near_dedup import Text, align, jaccard, linked, near_dedup
 
 
 def test_alignment_has_fewest_edits():
@@ -25,10 +24,6 @@ def test_alignment_has_fewest_edits():
         assert row[-1] == 0 or align(np.array(a, np.uint64), np.array(b, np.uint64), row[-1] - 1) is None
 
 
-def words(text):
-    return common.words([(text or "").encode()])[0]
-
-
 def test_against_all_pairs(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(400)]
@@ -52,10 +47,10 @@ def test_against_all_pairs(spark):
             i = parent[i]
         return i
 
-    hashed = [words(t) for _, t in rows]
+    read = [Text((t or "").encode()) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if np.array_equal(hashed[i], hashed[j]) or similarity(hashed[i], hashed[j], 0.8) >= 0.8:
+            if np.array_equal(read[i].words, read[j].words) or (jaccard(read[i], read[j]) >= 0.8 and linked(read[i], read[j], 0.8)):
                 parent[root(i)] = root(j)
     big = (1 << 63) - 1
     key = [big if d is None else d for d, _ in rows]
@@ -64,8 +59,9 @@ def test_against_all_pairs(spark):
         least[root(i)] = min(least.get(root(i), big), key[i])
     want = sorted((key[i], least[root(i)]) for i in range(len(rows)))
     df = spark.createDataFrame([(*r, b"n", 1) for r in rows], "doc_id long, text string, node binary, key int")
-    out = near_dedup(df).collect()
-    got = sorted((big if r.doc_id is None else r.doc_id, big if r.class_id is None else r.class_id) for r in out)
-    assert got == want
-    assert len({c for _, c in want}) < len(rows) - 30 and any(r.n_links for r in out)
+    for family in (4_000_000, 400):
+        out = near_dedup(df, family=family).collect()
+        got = sorted((big if r.doc_id is None else r.doc_id, big if r.class_id is None else r.class_id) for r in out)
+        assert got == want
+    assert len({c for _, c in want}) < len(rows) - 30
     assert near_dedup(df.limit(0)).count() == 0
