@@ -157,20 +157,25 @@ def _digest(text: bytes) -> bytes:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that is connected to each node of the edges (a, b).
+    """(node, label): one node of each component of the edges (a, b) as the label of all its nodes.
 
-    Each step takes the least label among neighbours and then that label's own label; it ends when no label changes.
+    Every node points to its least neighbour if that is smaller, and on to what this one points to. Then pointed-to
+    nodes stand for the others, and only edges between different ones go on. At most half of the nodes remain each
+    time, so there are few rounds and later ones are small.
     """
     both = common.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        jump = low.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        following = common.cut(jump.select("node", "old", F.least("label", "next").alias("label")))
-        changed = following.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = following.drop("old")
-        if not changed:
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
+        up = common.cut(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+        if labels is None:
+            labels = up.select("node", F.col("up").alias("label"))
+        else:
+            moved = up.select(F.col("node").alias("label"), "up")
+            labels = common.cut(labels.join(moved, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        ends = both.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+        both = common.cut(ends.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if not both.limit(1).count():
             return labels
 
 
