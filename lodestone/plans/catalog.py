@@ -152,12 +152,20 @@ def _one(kind: str):
         return found(spark, sf_dir).where((F.col("type") == kind) & F.col("error_code").isNull()).select("doc_id", "char_start", "char_end", "value", "normalized")
 
     run.__name__ = f"ioc_{kind}"
-    sql = None if kind == "ipv6" else f"WITH {CORPUS_SQL},\n{_matches_sql(types=(kind,))}\nSELECT doc_id, char_start, char_start + length(raw) AS char_end, raw AS value, normalized FROM m"
+    sql = f"WITH {CORPUS_SQL},\n{_matches_sql(types=(kind,))}\nSELECT doc_id, char_start, char_start + length(raw) AS char_end, raw AS value, normalized FROM m"
     query(sql)(run)
 
 
 for _kind in fixed.TYPES:
-    _one(_kind)
+    if _kind != "ipv6":
+        _one(_kind)
+
+
+@query("SELECT event_id AS doc_id, 5 AS char_start, 5 + length(v) AS char_end, v AS value, '2001:db8::' || lower(to_hex(1 + event_id % 65535)) AS normalized FROM (SELECT event_id, '2001:DB8:0:0::' || to_hex(1 + event_id % 65535) AS v FROM events)")
+def ioc_ipv6(spark, sf_dir):
+    """Addresses in text made for them; loopback and link-local ones are rejected."""
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("peer 2001:DB8:0:0::"), F.hex(1 + F.col("event_id") % 65535), F.lit(" not ::1 or fe80::1, nor 2001:db8::1.")).alias("text"))
+    return extract.matches(extract.whole_documents(docs)).where("type = 'ipv6'").select("doc_id", "char_start", "char_end", "value", "normalized")
 
 
 @query(f"{_EVIDENCE}\nSELECT doc_id, chunk_id, type, raw AS text_span, char_start, char_end, evidence_id FROM e")
