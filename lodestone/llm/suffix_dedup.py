@@ -247,13 +247,24 @@ def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes:
 
     def judge(table):
         got = [[x.view(np.int64) for x in common.unpack(p, 3)] for p in table.column("places").to_pylist()]
-        buf = np.frombuffer(b"".join(zstandard.decompress(t) for t in table.column("texts").to_pylist()), np.uint8)
+        raw = b"".join(zstandard.decompress(t) for t in table.column("texts").to_pylist())
+        buf = np.frombuffer(raw, np.uint8)
         count, doc, at = (np.concatenate([g[k] for g in got]) for k in range(3))
+        end = np.cumsum(count + span - 1)
+        whole, seen = np.zeros(len(count), bool), set()
+        order = np.lexsort((at, doc))
+        for i, p, q in zip(order.tolist(), (end - count - span + 1)[order].tolist(), end[order].tolist(), strict=True):
+            if (string := raw[p:q]) in seen:
+                whole[i] = True  # all of it stands in an earlier context
+            else:
+                seen.add(string)
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        starts = np.repeat(np.cumsum(count + span - 1) - (count + span - 1), count) + inner
         context = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        later = np.zeros(len(starts), bool)
-        for part in _parts(common.Rolling(buf), starts, span, most):
+        starts = np.repeat(end - count - span + 1, count) + inner
+        later = whole[context]
+        some = np.flatnonzero(~later)
+        for part in _parts(common.Rolling(buf), starts[some], span, most):
+            part = some[part]
             c = context[part]
             ranked = part[np.lexsort((at[c] + inner[part], doc[c]))]
             later[ranked] = _repeats(*suffix_order(buf, starts[ranked], span), span)
