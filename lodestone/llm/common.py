@@ -92,6 +92,29 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """Rolling hashes of ranges in the order of their starts, over `step` bytes of starts at a time, for little memory."""
+    out = np.empty(len(start), np.uint64)
+    cut = np.searchsorted(start, np.arange(0, len(buf) + step, step))
+    for s, i, j in zip(range(0, len(buf) + step, step), cut[:-1], cut[1:], strict=False):
+        if i < j:
+            out[i:j] = Rolling(buf[s : end[j - 1]]).of(start[i:j] - s, end[i:j] - s)
+    return out
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine, so that workers that live on don't hold their largest task's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # only glibc has it
+
+
 def words(texts: list[bytes], separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word of all texts, and the number of words before each text and after the last."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -99,7 +122,7 @@ def words(texts: list[bytes], separator: np.ndarray = _SPACE) -> tuple[np.ndarra
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
     start, end = edge[::2], edge[1::2]
     length = (end - start).astype(np.uint64)
-    hashes = mix(Rolling(buf).of(start, end) + length)
+    hashes = mix(hash_ranges(buf, start, end) + length)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(start, at)
 

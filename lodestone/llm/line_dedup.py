@@ -28,8 +28,8 @@ class Lines:
         gap = common._SPACE[buf]
         edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
         begin, stop = edge[::2], edge[1::2]
-        token = common.mix(common.Rolling(buf).of(begin, stop) + (stop - begin).astype(np.uint64))
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[buf] | (buf == 0))])
+        token = common.mix(common.hash_ranges(buf, begin, stop) + (stop - begin).astype(np.uint64))
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[buf] | (buf == 0), dtype=np.int32)])
         token[digits[stop] > digits[begin]] = _FIELD
         self.token, self.begin, self.stop = token, begin, stop
         self.first = np.searchsorted(begin, self.start)
@@ -142,6 +142,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
 
     def send(table):
         block = _Block(table, depth, alike, min_docs, crowd)
+        common.trim()
         group, doc = block.docs()
         cut = np.searchsorted(common.bucket_of(block.leaf, n_buckets), np.arange(n_buckets + 1))
         part = np.searchsorted(group, cut)
@@ -154,6 +155,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
         })
 
     def judge(table):
+        common.trim()
         lines = Lines([zstandard.decompress(t) for t in table.column("lines").to_pylist()], depth)
         size = np.bincount(lines.doc, minlength=len(table))
         cut = np.cumsum([0, *size])
@@ -190,6 +192,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     def apply(left, right):
         block = _Block(left, depth, alike, min_docs, crowd)
         x = block.lines
+        common.trim()
         cut = np.searchsorted(common.bucket_of(block.leaf, n_buckets), np.arange(n_buckets + 1))
         recurs, least = np.zeros(len(block.leaf) + 1, bool), np.zeros(len(block.leaf) + 1, np.int64)
         for b, f in zip(right.column("bucket").to_pylist(), right.column("firsts").to_pylist(), strict=True):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
 import numpy as np
@@ -67,45 +66,56 @@ def classed(keys: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray
     return np.concatenate([common.mix(keys + (low + np.uint64(i)) * np.uint64(0x9FB21C651E98DF25)) for i in (0, 1)], 1)
 
 
-def align(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
-    """Lengths of the runs of equal words along an alignment of fewest edits, or None if it needs over `most`.
+def align(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int] | None:
+    """(edits, matched k-mers) along an alignment of fewest word edits, or None if it needs over `most`.
 
-    Works on diagonals within `most` of the main one, edit by edit, always as far as words agree.
+    Works edit by edit on the diagonals within `most` of the main one, always as far as words agree, and keeps for each
+    diagonal only how far it has come and what it has matched: memory is the band.
     """
     la, lb = len(a), len(b)
     if abs(la - lb) > most:
         return None
-    unequal: dict[int, list[int]] = {}
 
-    def slide(i: int, k: int) -> int:
-        if k not in unequal:
-            low, high = max(0, -k), min(la, lb - k)
-            unequal[k] = [*(np.flatnonzero(a[low:high] != b[low + k : high + k]) + low).tolist(), high]
-        at = unequal[k]
-        return max(i, at[min(bisect.bisect_left(at, i), len(at) - 1)])
-
-    levels = [{0: (slide(0, 0), 0, None)}]
-    while True:
-        last = levels[-1]
-        if lb - la in last and last[lb - la][0] >= la:
-            break
-        d = len(levels)
-        if d > most:
-            return None
-        level = {}
-        for k in range(-min(d, la), min(d, lb) + 1):
-            steps = [(last[k2][0] + step, k2) for k2, step in ((k, 1), (k + 1, 1), (k - 1, 0)) if k2 in last]
-            steps = [x for x in steps if x[0] <= la and x[0] + k <= lb]
-            if steps:
-                i, came = max(steps)
-                level[k] = (slide(i, k), i, came)
-        levels.append(level)
-    runs, k = [], lb - la
-    for level in reversed(levels):
-        end, i, came = level[k]
-        runs.append(end - i)
-        k = came
-    return runs
+    def slide(v: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Each diagonal's place, moved on while words agree, with the k-mers of the run."""
+        begin = v >> 32
+        i = begin.copy()
+        on = np.flatnonzero((i >= 0) & (i < la) & (i + k < lb) & (i + k >= 0))
+        for _ in range(16):
+            if not len(on):
+                break
+            on = on[a[i[on]] == b[i[on] + k[on]]]
+            i[on] += 1
+            on = on[(i[on] < la) & (i[on] + k[on] < lb)]
+        for x in on.tolist():
+            p, d, width = int(i[x]), int(k[x]), 64
+            while p < la and p + d < lb:
+                n = min(width, la - p, lb - d - p)
+                unequal = a[p : p + n] != b[p + d : p + d + n]
+                if unequal.any():
+                    p += int(unequal.argmax())
+                    break
+                p, width = p + n, width * 2
+            i[x] = p
+        return v + ((i - begin) << 32) + np.maximum(i - begin - K + 1, 0)
+
+    none = np.int64(-1) << 60
+    low, v = 0, slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    for d in range(most + 1):
+        if d:
+            k = np.arange(max(-d, -la), min(d, lb) + 1)
+            old = np.full(len(v) + 4, none)
+            old[2:-2] = v
+            at = k - low + 2
+            step = np.int64(1) << 32
+            steps = np.stack([old[at] + step, old[np.minimum(at + 1, len(old) - 1)] + step, old[np.maximum(at - 1, 0)]])
+            ends = steps >> 32
+            steps[(ends > la) | (ends + k > lb)] = none
+            low, v = int(k[0]), slide(steps.max(0), k)
+        x = lb - la - low
+        if 0 <= x < len(v) and v[x] >> 32 >= la:
+            return d, int(v[x] & 0xFFFFFFFF)
+    return None
 
 
 class Text:
@@ -132,11 +142,8 @@ def linked(a: Text, b: Text, threshold: float) -> bool:
     if min(len(a.words), len(b.words)) < K:
         return True
     # of all k-mers at most this many are unmatched at the threshold, and a word edit leaves one at least
-    runs = align(a.words, b.words, n - 2 * int(threshold / (1 + threshold) * n) + 2 * K)
-    if runs is None:
-        return False
-    met = sum(max(0, r - K + 1) for r in runs)
-    return met >= (threshold - 1e-9) * (n - met)
+    found = align(a.words, b.words, n - 2 * int(threshold / (1 + threshold) * n) + 2 * K)
+    return found is not None and found[1] >= (threshold - 1e-9) * (n - found[1])
 
 
 def _slices(batch, size: int = 2 << 20):
@@ -179,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least: int = 3, family: int = 4_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least: int = 3, family: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, class_id, kept, text_sha256 (of the text as it is).
 
     Two texts are linked if the Jaccard similarity of their word 5-mers, counted as far as an alignment matches them, is
@@ -230,6 +237,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least:
         A text's k-mers that no other one has can't be shared, so its other k-mers bound every overlap. Two texts are
         compared only if that bound and their sizes allow the threshold and nothing connects them yet.
         """
+        common.trim()
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rep", "node", "packed")), strict=True))
         texts = [Text(zstandard.decompress(r[2])) for r in rows]
         n = np.array([len(t.kmers) for t in texts])

@@ -19,8 +19,9 @@ def test_alignment_has_fewest_edits():
             last, row[0] = row[0], i
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-        runs = align(np.array(a, np.uint64), np.array(b, np.uint64), 60)
-        assert len(runs) - 1 == row[-1]
+        edits, matched = align(np.array(a, np.uint64), np.array(b, np.uint64), 60)
+        assert edits == row[-1] and 0 <= matched <= max(0, min(len(a), len(b)) - 4)
+        assert a != b or matched == max(0, len(a) - 4)
         assert row[-1] == 0 or align(np.array(a, np.uint64), np.array(b, np.uint64), row[-1] - 1) is None
 
 
