@@ -32,6 +32,25 @@ def cut_points(texts: list[bytes], average: int, reach: int = 32) -> list[np.nda
     return out
 
 
+class _Words(dict):
+    """(ids, decoded text) of words, worked out when first asked for. Of `most` words those not asked for lately go."""
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most, self.blank, self.old = tokenizer, most // 2, False, {}
+
+    def __missing__(self, w: bytes) -> tuple[str, str]:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if w in self.old:
+            got = self[w] = self.old[w]
+            return got
+        ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+        self.blank |= not ids  # some word, of white space that isn't ASCII's, has no token
+        got = self[w] = " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
+        return got
+
+
 class Encoder:
     """Encodes texts piece by piece, exactly as the tokenizer does in one go.
 
@@ -40,7 +59,7 @@ class Encoder:
     of both sides are encoded again as one, and with them any chunk without white space between.
     """
 
-    def __init__(self, path: str, average: int = 1024, words: int = 300_000, chunk_bytes: int = 16 << 20):
+    def __init__(self, path: str, average: int = 1024, words: int = 160_000, chunk_bytes: int = 4 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,24 +67,17 @@ class Encoder:
         self.tokenizer.no_padding()
         if self.tokenizer.decoder is not None or "Removed" not in str(self.tokenizer.pre_tokenizer):
             raise ValueError("only tokenizers that drop white space and decode to tokens joined by a space can be joined at white space")
-        self.average, self.most_words, self.most_bytes = average, words, chunk_bytes
-        self.words: dict[bytes, tuple[int, str, str]] = {}
+        self.average, self.most_bytes = average, chunk_bytes
+        self.words = _Words(self.tokenizer, words)
         self.chunks: dict[bytes, tuple] = {}
         self.held = self.reused = self.encoded = 0
 
-    def word(self, w: bytes) -> tuple[int, str, str]:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= self.most_words:
-                self.words.clear()
-            e = self.tokenizer.encode(w.decode(), add_special_tokens=False)
-            ids = e.ids
-            got = self.words[w] = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False))
-        return got
-
-    def _run(self, words: list[bytes]) -> tuple[int, str, str]:
-        got = [x for x in map(self.word, words) if x[0]]
-        return sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+    def _run(self, words: list[bytes]) -> tuple[str, str]:
+        known = self.words
+        got = [known[w] for w in words]
+        if known.blank:
+            got = [x for x in got if x[0]]
+        return " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
     def chunk(self, c: bytes):
         """(first part-word, tokens of inner words, last part-word), or None if there's no white space."""
@@ -76,7 +88,7 @@ class Encoder:
         self.encoded += 1
         words = c.split()
         if not words:
-            got = (b"", (0, "", ""), b"") if c else None
+            got = (b"", ("", ""), b"") if c else None
         else:
             head = b"" if c[:1].isspace() else words.pop(0)
             tail = b"" if c[-1:].isspace() or not words else words.pop()
@@ -89,6 +101,7 @@ class Encoder:
         return got
 
     def text(self, t: bytes, cuts: np.ndarray) -> tuple[int, str, str]:
+        """(number of tokens, ids, decoded text)."""
         out, open_word, p = [], [], 0
         for q in [*cuts.tolist(), len(t)]:
             if q - p < _LEAST and q < len(t):
@@ -105,12 +118,13 @@ class Encoder:
                     continue
                 head, inner, tail = got
                 open_word.append(head)
-                out += [self.word(w) for w in [b"".join(open_word)] if w]
+                out += [self.words[w] for w in [b"".join(open_word)] if w]
                 out.append(inner)
                 open_word = [tail]
-        out += [self.word(w) for w in [b"".join(open_word)] if w]
+        out += [self.words[w] for w in [b"".join(open_word)] if w]
         out = [x for x in out if x[0]]
-        return sum(x[0] for x in out), " ".join([x[1] for x in out]), " ".join([x[2] for x in out])
+        ids = " ".join([x[0] for x in out])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in out])
 
 
 def bpe(docs: DataFrame, path: str | None = None, average: int = 1024, texts: bool = True) -> DataFrame:
@@ -128,13 +142,14 @@ def bpe(docs: DataFrame, path: str | None = None, average: int = 1024, texts: bo
     def encode(batches):
         import public_tokenizers
 
+        common.trim()
         encoder = Encoder(path or public_tokenizers.path("word_bpe_49k.json"), average)
         for b in batches:
             ids, column = b.column("doc_id"), b.column("text")
             i = 0
             while i < b.num_rows:
                 part, size = [], 0
-                while i + len(part) < b.num_rows and size < 4 << 20:
+                while i + len(part) < b.num_rows and size < 1 << 20:
                     t = column[i + len(part)].as_buffer()
                     part.append(t.to_pybytes())
                     size += t.size
