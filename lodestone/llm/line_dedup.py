@@ -42,35 +42,61 @@ class Lines:
         self.leaf = leaf
         self.doc = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
 
-    def masked(self, i: int, fields: np.ndarray | None = None) -> bytes:
+    def masked(self, i: int) -> bytes:
         """A line from its first to its last token; with fields its tokens joined by a space, fields as marks."""
         a, n = self.first[i], self.n[i]
-        hidden = (self.token[a : a + n] if fields is None else fields) == _FIELD
+        hidden = self.token[a : a + n] == _FIELD
         if not hidden.any():
             return self.bytes[self.begin[a] : self.stop[a + n - 1]]
         return b" ".join([_MARK if h else self.bytes[p:q] for h, p, q in zip(hidden.tolist(), self.begin[a : a + n].tolist(), self.stop[a : a + n].tolist(), strict=True)])
 
 
-def grow(rows: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
-    """Templates of one leaf, line by line: the template of each line, and the templates' tokens.
+def grow(rows: np.ndarray, alike: float, depth: int = 0, crowd: int = 256) -> np.ndarray:
+    """Templates of one leaf, line by line: the template of each line.
 
     A line joins the template that shares the most of its tokens if that is the share `alike` at least; positions
-    where they differ become fields. Else it begins a template.
+    where they differ become fields. Else it begins a template. Beyond `crowd` templates only those are compared that
+    share a token in one of so many places after the `depth` first that no other can be alike enough.
     """
+    n = rows.shape[1]
+    need = next(k for k in range(n + 1) if k >= alike * n)
+    few = n - need + 1  # of any so many places an alike template shares one
+    places = range(min(depth, n), n)
+    held: list[dict[int, list[int]]] = []
     templates = np.empty_like(rows)
     count, own = 0, np.empty(len(rows), np.int64)
+
+    def enter(template: int, at) -> None:
+        for p in at:
+            held[p - places.start].setdefault(int(templates[template, p]), []).append(template)
+
     for i, row in enumerate(rows):
-        if count:
-            same = (templates[:count] == row).sum(1)
+        near = None
+        if count > crowd and len(places) >= few:
+            if not held:
+                held = [{} for _ in places]
+                for t in range(count):
+                    enter(t, places)
+            met = sorted((h.get(t, ()) for h, t in zip(held, row[places.start :].tolist(), strict=True)), key=len)
+            near = np.array(sorted(set().union(*met[:few])), np.int64)
+        some = templates[:count] if near is None else templates[near]
+        if len(some):
+            same = (some == row).sum(1)
             best = int(same.argmax())
-            if same[best] >= alike * len(row):
+            if same[best] >= need:
+                best = best if near is None else int(near[best])
+                new = np.flatnonzero((templates[best] != row) & (templates[best] != _FIELD))
                 templates[best][templates[best] != row] = _FIELD
+                if held:
+                    enter(best, new[new >= places.start].tolist())
                 own[i] = best
                 continue
         templates[count] = row
         own[i] = count
+        if held:
+            enter(count, places)
         count += 1
-    return own, templates[:count]
+    return own
 
 
 def _least_docs(group: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +112,9 @@ def _least_docs(group: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarr
 
 
 class _Block:
-    """A block's lines as the entries it sends: distinct lines, or the templates of leaves that are crowded here."""
+    """A block's lines as the entries it sends, all its distinct lines."""
 
-    def __init__(self, table, depth: int, alike: float, min_docs: int, crowd: int):
+    def __init__(self, table, depth: int, min_docs: int):
         ids = table.column("doc_id").to_numpy()
         self.order = order = np.argsort(ids, kind="stable")
         texts = common.utf8(table.column("text"))
@@ -97,25 +123,13 @@ class _Block:
         full = np.flatnonzero(x.n > 0)
         _, at, place = np.unique(x.key[full], return_index=True, return_inverse=True)
         at = full[at]  # the first line of each distinct one
-        entry = np.arange(len(at))
-        fields: dict[int, np.ndarray] = {}
-        leaf, size = np.unique(x.leaf[at], return_counts=True)
-        for crowded in leaf[size > crowd]:
-            own = np.flatnonzero(x.leaf[at] == crowded)
-            own = own[np.argsort(at[own])]
-            group, templates = grow(x.token[x.first[at[own]][:, None] + np.arange(x.n[at[own[0]]])], alike)
-            head = np.full(len(templates), len(at))
-            np.minimum.at(head, group, own)
-            entry[own] = head[group]
-            fields |= {int(h): t for h, t in zip(head, templates, strict=True)}
-        kept, entry = np.unique(entry, return_inverse=True)
-        order = np.argsort(x.leaf[at[kept]], kind="stable")
-        rank = np.empty(len(kept), np.int64)
-        rank[order] = np.arange(len(kept))
+        order = np.argsort(x.leaf[at], kind="stable")
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at))
         self.entry_of = np.full(len(x.n), -1)
-        self.entry_of[full] = rank[entry[place]]
-        self.leaf = x.leaf[at[kept]][order]
-        self.text = lambda i: x.masked(int(at[kept[order[i]]]), fields.get(int(kept[order[i]])))
+        self.entry_of[full] = rank[place]
+        self.leaf = x.leaf[at][order]
+        self.text = lambda i: x.masked(int(at[order[i]]))
         self.docs = lambda: _least_docs(self.entry_of[full], self.ids[x.doc[full]], min_docs)
 
 
@@ -131,8 +145,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     rows that repeat an id count as one document; extra columns are ignored.
 
     Documents are hashed to blocks. A block sends each distinct line once, with its smallest ids, to the bucket of its
-    leaf; from a leaf with over `crowd` lines in a block the block's own templates go instead. The bucket answers with
-    the smallest id of each recurring template, and the block drops lines by that.
+    leaf, at any size of the leaf. The bucket parses a leaf in one go, with an index over templates where they are more
+    than `crowd`, which changes no result. It answers with the smallest id of each recurring template, and the block
+    drops lines by that.
     """
     import pyarrow as pa
     import zstandard
@@ -141,7 +156,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     n_buckets = n_blocks
 
     def send(table):
-        block = _Block(table, depth, alike, min_docs, crowd)
+        block = _Block(table, depth, min_docs)
         common.trim()
         group, doc = block.docs()
         cut = np.searchsorted(common.bucket_of(block.leaf, n_buckets), np.arange(n_buckets + 1))
@@ -174,7 +189,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
         for i in np.flatnonzero(np.diff(edge) > 1).tolist():
             own = order[edge[i] : edge[i + 1]]
             n = lines.n[at[own[0]]]
-            found, _ = grow(lines.token[lines.first[at[own]][:, None] + np.arange(n)], alike)
+            found = grow(lines.token[lines.first[at[own]][:, None] + np.arange(n)], alike, depth, crowd)
             template[own] = own[np.unique(found, return_index=True)[1]][found]
         group, doc = _least_docs(template[group], doc, min_docs)
         recurs = np.full(len(at), -1)
@@ -190,7 +205,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
         })
 
     def apply(left, right):
-        block = _Block(left, depth, alike, min_docs, crowd)
+        block = _Block(left, depth, min_docs)
         x = block.lines
         common.trim()
         cut = np.searchsorted(common.bucket_of(block.leaf, n_buckets), np.arange(n_buckets + 1))

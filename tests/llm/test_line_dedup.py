@@ -70,3 +70,21 @@ def test_crowded_leaf_of_one_template(spark):
     large = {r.doc_id: (r.n_removed, r.kept_sha256) for r in line_dedup(df, least_blocks=4).collect()}
     assert small == large and all(n >= 4 for d, (n, _) in small.items() if d)
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_crowded_leaf_of_many_templates(spark):
+    """One leaf of over 256 lines in a block, whose templates depend on the order of all its lines."""
+    rng = random.Random(3)
+    base = [[f"{a}{b}" for b in "klmnopq"] for a in "abcdefgh"]
+    rows = []
+    for d in range(1400):
+        words = list(rng.choice(base))
+        for k in rng.sample(range(7), rng.randint(0, 4)):
+            words[k] = "x" + rng.choice("abcd") + rng.choice("abcd") if k < 5 else str(d)
+        rows.append((d, "all the same " + " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    for crowd in (5, 256):
+        got = sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup(df, least_blocks=3, crowd=crowd).collect())
+        assert got == want
+    assert 100 < sum(r[2] for r in want) < 1400
