@@ -18,7 +18,10 @@ _MARK = b"\x00"  #: a variable field's text in what blocks send
 
 
 class Lines:
-    """All lines of some texts: their tokens' hashes, with tokens that hold a digit or are marked as fields."""
+    """All lines of some texts: their tokens' hashes, with tokens that hold a digit or are marked as fields.
+
+    A line of such tokens alone keeps their hashes and has a leaf of its own.
+    """
 
     def __init__(self, texts: list[bytes], depth: int):
         self.bytes = b"\n".join(texts) + b"\n"
@@ -30,15 +33,19 @@ class Lines:
         begin, stop = edge[::2], edge[1::2]
         token = common.mix(common.hash_ranges(buf, begin, stop) + (stop - begin).astype(np.uint64))
         digits = np.concatenate([[0], np.cumsum(_DIGIT[buf] | (buf == 0), dtype=np.int32)])
-        token[digits[stop] > digits[begin]] = _FIELD
-        self.token, self.begin, self.stop = token, begin, stop
+        field = digits[stop] > digits[begin]
         self.first = np.searchsorted(begin, self.start)
         self.n = np.diff(self.first, append=len(begin))
+        fields = np.concatenate([[0], np.cumsum(field, dtype=np.int32)])
+        bare = (self.n > 0) & (fields[self.first + self.n] - fields[self.first] == self.n)  # these keep their tokens
+        token[field & ~np.repeat(bare, self.n)] = _FIELD
+        self.token, self.begin, self.stop = token, begin, stop
         self.key = common.Rolling(token).of(self.first, self.first + self.n)
         leaf = common.mix(self.n.astype(np.uint64))
         for i in range(depth):
             has = self.n > i
             leaf[has] = common.mix(leaf[has] * np.uint64(31) + token[self.first[has] + i])
+        leaf[bare] = common.mix(self.key[bare])  # a leaf of its own for each
         self.leaf = leaf
         self.doc = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
 
@@ -54,8 +61,9 @@ class Lines:
 def grow(rows: np.ndarray, alike: float, depth: int = 0, crowd: int = 256) -> np.ndarray:
     """Templates of one leaf, line by line: the template of each line.
 
-    A line joins the template that shares the most of its tokens if that is the share `alike` at least; positions
-    where they differ become fields. Else it begins a template. Beyond `crowd` templates only those are compared that
+    A line joins the template that shares the most of its tokens, among those with which it shares a token that is no
+    field, if that is the share `alike` at least; positions where they differ become fields. Else it begins a template.
+    Beyond `crowd` templates only those are compared that
     share a token in one of so many places after the `depth` first that no other can be alike enough.
     """
     n = rows.shape[1]
@@ -81,9 +89,10 @@ def grow(rows: np.ndarray, alike: float, depth: int = 0, crowd: int = 256) -> np
             near = np.array(sorted(set().union(*met[:few])), np.int64)
         some = templates[:count] if near is None else templates[near]
         if len(some):
-            same = (some == row).sum(1)
+            equal = some == row
+            same = np.where(equal[:, row != _FIELD].any(1), equal.sum(1), 0)
             best = int(same.argmax())
-            if same[best] >= need:
+            if same[best] >= max(need, 1):
                 best = best if near is None else int(near[best])
                 new = np.flatnonzero((templates[best] != row) & (templates[best] != _FIELD))
                 templates[best][templates[best] != row] = _FIELD
@@ -139,7 +148,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     Lines end at a newline; tokens are runs of anything but ASCII white space; a token with a digit is a variable
     field. Lines with as many tokens and the same `depth` leading tokens share a leaf of the tree, whatever their
     fields. In a leaf, lines in the order of their smallest id join the template most like them, if the share
-    `alike` of their tokens agrees, and where they differ the template gets a field. A template that lines of
+    `alike` of their tokens agrees and a constant one among them, and where they differ the template gets a field. So
+    a template keeps a constant token; lines of fields alone are copies only if all their tokens are equal. A template that lines of
     `min_docs` different ids follow recurs: its lines go from every document but the one with the smallest id. Blank
     lines always stay. Null texts are empty; a null or empty text has one blank line; a null id counts as the largest;
     rows that repeat an id count as one document; extra columns are ignored.

@@ -88,3 +88,14 @@ def test_crowded_leaf_of_many_templates(spark):
         got = sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup(df, least_blocks=3, crowd=crowd).collect())
         assert got == want
     assert 100 < sum(r[2] for r in want) < 1400
+
+
+def test_lines_of_fields_alone_are_compared_whole(spark):
+    numbers = ["1.5 20 3", "2019 7 31", "a1 b2 c3", "4 5 6", "2019 7 31 4 5 6 7 8 9 1", "2019 7 31 4 5 6 7 8 9 2", "2019 7 31 4 5 6 7 8 9 3"]
+    words = [f"{i} {w}" for i, w in enumerate("one two three four".split())] + [f"1 2 3 {w}" for w in "one two three four".split()]
+    rows = [(i, t) for i, t in enumerate(numbers + words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup(df, least_blocks=2).collect() if r.n_removed} == set()
+    again = [(100 + i, f"7 8\nown {'abc'[i]}") for i in range(3)] + [(200 + i, f"{i} 2 3 total") for i in range(3)]
+    df = spark.createDataFrame(rows + again, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup(df, least_blocks=2).collect() if r.n_removed} == {101, 102, 201, 202}
