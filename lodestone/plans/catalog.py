@@ -147,18 +147,19 @@ _T = "2026-05-19T00:00:00.000Z"
 # --- extraction ---
 
 
-def _one(kind: str):
+def _one(kind: str, name: str | None = None, twin: bool = True):
     def run(spark, sf_dir):
         return found(spark, sf_dir).where((F.col("type") == kind) & F.col("error_code").isNull()).select("doc_id", "char_start", "char_end", "value", "normalized")
 
-    run.__name__ = f"ioc_{kind}"
+    run.__name__ = name or f"ioc_{kind}"
     sql = f"WITH {CORPUS_SQL},\n{_matches_sql(types=(kind,))}\nSELECT doc_id, char_start, char_start + length(raw) AS char_end, raw AS value, normalized FROM m"
-    query(sql)(run)
+    query(sql if twin else None)(run)
 
 
 for _kind in fixed.TYPES:
     if _kind != "ipv6":
         _one(_kind)
+_one("ipv6", "ioc_ipv6_corpus", twin=False)  # SQL has no look-behind, so a test holds it against brute force
 
 
 @query("SELECT event_id AS doc_id, 5 AS char_start, 5 + length(v) AS char_end, v AS value, '2001:db8::' || lower(to_hex(1 + event_id % 65535)) AS normalized FROM (SELECT event_id, '2001:DB8:0:0::' || to_hex(1 + event_id % 65535) AS v FROM events)")
