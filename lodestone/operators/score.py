@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Weights of the composite and thresholds of routing.
@@ -89,6 +90,55 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int =
     return rows.select(F.col("a.query_id").alias("query_id"), "corpus", "vec_id", cos.alias("similarity")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_all(vectors: DataFrame, queries: DataFrame, k: int = 5, corpora: str = "label", block: int = 512) -> DataFrame:
+    """As nearest, for a table of queries (vec_id, embedding) of any size.
+
+    Both sides are packed into blocks of rows, each block of queries meets each block of vectors in one matrix product,
+    and only the k best of a corpus in a pair of blocks go on. Vectors without a length have no similarity and no rank.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = vectors.schema[corpora].dataType
+
+    def packed(rows: DataFrame, size: int) -> DataFrame:
+        def pack(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, size):
+                    part = b.slice(i, size)
+                    part = part.filter(part.column("embedding").is_valid())
+                    part = part.take(pa.compute.sort_indices(part.column("vec_id")))
+                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 0))
+                    some = np.sqrt((x * x).sum(1)) > 0
+                    if some.any():
+                        kept = part.filter(pa.array(some))
+                        lists = [pa.array([kept.column(c).to_pylist()], pa.list_(kept.schema.field(c).type)) for c in ("vec_id", "corpus")]
+                        yield pa.RecordBatch.from_arrays([*lists, pa.array([x[some].tobytes()], pa.binary())], names=["ids", "corpora", "x"])
+
+        import pyarrow.compute  # noqa: F401
+
+        return rows.mapInArrow(pack, T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("corpora", T.ArrayType(kind)), T.StructField("x", T.BinaryType())]))
+
+    def best(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                v, q = (np.frombuffer(r[c]).reshape(len(r[n]), -1) for c, n in (("x", "ids"), ("q", "query_ids")))
+                cos = np.round((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))), 6)
+                out = []
+                for c in dict.fromkeys(r["corpora"]):
+                    own = np.array([i for i, x in enumerate(r["corpora"]) if x == c])
+                    top = own[np.argsort(-cos[own], axis=0, kind="stable")[:k]]
+                    out += [(i, c, r["ids"][t], float(cos[t, j])) for j, i in enumerate(r["query_ids"]) for t in top[:, j].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), b.schema.field("corpora").type.value_type, pa.int64(), pa.float64()), strict=True)], names=["query_id", "corpus", "vec_id", "similarity"])
+
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(None).cast(kind).alias("corpus"), "embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(corpora).alias("corpus"), "embedding")
+    pairs = packed(rows, 8 * block).crossJoin(packed(asked, block).select(F.col("ids").alias("query_ids"), F.col("x").alias("q")))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("corpus", kind), T.StructField("vec_id", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("similarity"), "vec_id")
+    return pairs.mapInArrow(best, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def lexical_search(docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
     """The k documents with the most occurrences of the terms as whole lower-case words: doc_id, score, n_terms.
 

@@ -551,6 +551,13 @@ def typed_retrieval_topk(spark, sf_dir):
     return score.nearest(rows, asked)
 
 
+@query(ORACLES["typed_retrieval_topk"].replace("vec_id < 5", "vec_id % 100 = 0"))
+def typed_retrieval_topk_all(spark, sf_dir):
+    """Every vector whose id is divisible by 100 against all vectors; the queries grow with the table."""
+    rows = table(spark, sf_dir, "embeddings")
+    return score.nearest_all(rows, rows.where("vec_id % 100 = 0"))
+
+
 _TERMS = ("the", "license", "ethe", "und")
 
 
