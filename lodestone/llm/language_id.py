@@ -59,17 +59,21 @@ class Model:
         return best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1).astype(float)
 
 
-def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, languages: int = 64, longest: int = 3, ridge: float = 1e-2) -> Model | None:
-    """Learns from rows with a non-null lang that aren't held out; None if there are none.
+def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, rows_in_all: int = 19_200, landmarks_in_all: int = 1536, longest: int = 3, ridge: float = 1e-2) -> Model | None:
+    """Learns every lang value of rows that aren't held out; None if there are none.
 
-    The sample is bounded: of each language the `per_language` rows whose ids hash smallest, of at most `languages`
-    languages (the most frequent ones). Executors turn whole texts into 8 KB of n-gram bits each, and only those
-    are gathered. `landmarks` of each language's rows are the Nyström landmarks.
+    The sample is bounded: of each language the `per_language` rows whose ids hash smallest, or its equal share of
+    `rows_in_all` if that is less, and one at least. Executors turn whole texts into 8 KB of n-gram bits each, and
+    only those are gathered; they are unpacked a few at a time. `landmarks` of each language's rows, or its share of
+    `landmarks_in_all`, are the Nyström landmarks.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    languages = known.select("lang").distinct().count()
+    if not languages:
+        return None
+    per_language, landmarks = min(per_language, max(1, rows_in_all // languages)), min(landmarks, max(1, landmarks_in_all // languages))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "lang").join(F.broadcast(names), "lang").withColumn("turn", turn).where(F.col("turn") <= per_language).drop("turn").limit(per_language * languages)
+    picked = known.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language).drop("turn").limit(per_language * languages)
 
     import pyarrow as pa
 
@@ -84,19 +88,20 @@ def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, languages
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.bits))
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    packed = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1)
     found = sorted({r.lang for r in rows})
     y = np.array([found.index(r.lang) for r in rows])
     chosen = np.concatenate([np.flatnonzero(y == k)[:: max(1, int((y == k).sum()) // landmarks)][:landmarks] for k in range(len(found))])
-    z = x[chosen]
+    z = np.unpackbits(packed[chosen], axis=1)
     columns = np.flatnonzero(z.any(0))
     model = Model(found, columns, z[:, columns].T.astype(np.float32), np.sqrt(np.maximum(z.sum(1, dtype=np.int64), 1)).astype(np.float32), np.zeros(0), longest)
     values, vectors = np.linalg.eigh(model.kernel(z).astype(float))
     keep = values > 1e-6 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.concatenate([model.kernel(x) @ nystrom, np.ones((len(x), 1))], 1)
+    k = np.concatenate([model.kernel(np.unpackbits(packed[i : i + 256], axis=1)) for i in range(0, len(packed), 256)])
+    phi = np.concatenate([k @ nystrom, np.ones((len(k), 1))], 1)
     target = np.where(y[:, None] == np.arange(len(found)), 1.0, -1.0)
-    weight = len(x) / (len(found) * np.bincount(y, minlength=len(found)))[y][:, None]  # languages count alike
+    weight = len(rows) / (len(found) * np.bincount(y, minlength=len(found)))[y][:, None]  # languages count alike
     solved = np.linalg.solve(phi.T @ (weight * phi) + ridge * np.eye(phi.shape[1]), phi.T @ (weight * target))
     model.weights = np.concatenate([nystrom @ solved[:-1], solved[-1:]]).astype(np.float32)
     return model

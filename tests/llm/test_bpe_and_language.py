@@ -83,3 +83,17 @@ def test_language_edge_cases(spark):
     assert language_id(empty).count() == 0
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id(unlabelled).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 64, each of other words; the rarest ones are told apart too."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=40)), f"l{k:02}") for i in range(12 if k < 60 else 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for fitting in ({}, {"rows_in_all": 140, "landmarks_in_all": 140}):
+        got = language_id(df, **fitting).collect()
+        assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
+        assert {r.lang_pred for r in got} == {r[2] for r in rows}
