@@ -18,8 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those that are null or have no letter go."""
-    return language_id(docs.select(*COLUMNS)).where(F.col("lang_pred") != "und").select(*COLUMNS)
+    """Documents whose text has a letter; those that are null or have none go, whatever the prediction is."""
+    return language_id(docs.select(*COLUMNS), lettered=True).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,12 +107,13 @@ def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, rows_in_a
     return model
 
 
-def language_id(docs: DataFrame, model: Model | None = None, **fitting) -> DataFrame:
+def language_id(docs: DataFrame, model: Model | None = None, lettered: bool = False, **fitting) -> DataFrame:
     """Every row of docs with lang_pred (a learned value, or und), score (0 to 1) and held_out.
 
     und stands for a text that is null or has no letter, with score 0, and for all texts if nothing could be
     learned. Only text decides: whole, in lower case, as UTF-8. Repeated rows are predicted each; other columns
-    pass through unless they have one of the three names. A null id is neither held out nor learned from.
+    pass through unless they have one of the three names. A null id is neither held out nor learned from. With
+    `lettered`, rows whose text is null or has no letter are left out, whatever could be learned.
     """
     import pyarrow as pa
 
@@ -124,9 +125,11 @@ def language_id(docs: DataFrame, model: Model | None = None, **fitting) -> DataF
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 texts = part.column("text").to_pylist()
-                some = [k for k, t in enumerate(texts) if t and model is not None and _LETTER.search(t)]
+                some = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+                if lettered:
+                    part, texts, some = part.take(pa.array(some, pa.int64())), [texts[k] for k in some], list(range(len(some)))
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
-                if some:
+                if some and model is not None:
                     best, margin = model.decide(presence([texts[k].lower().encode() for k in some], model.longest))
                     for k, m, s in zip(some, best.tolist(), margin.tolist(), strict=True):
                         lang[k], score[k] = model.languages[m], s

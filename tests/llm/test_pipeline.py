@@ -44,3 +44,10 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert len(rows) == 22 and all(r.n_tokens > 0 for r in rows)
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_corpus_without_usable_labels_passes(spark, folder, lang):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("lang").selectExpr("doc_id", "text", f"cast({repr(lang) if lang else 'null'} as string) lang", "source", "n_chars")
+    kept = corpus_pipeline.identify(spark, docs, folder).collect()
+    assert len(kept) == docs.count() - 2 and not {103, 104} & {r.doc_id for r in kept}
