@@ -134,8 +134,9 @@ def bpe(docs: DataFrame, path: str | None = None, average: int = 1024, texts: bo
     decodes from them. A null or empty text has no tokens. Repeated rows give a row each; null ids are kept; extra
     columns are ignored. `path` is a tokenizer file that executors can read (by default the word-level public one).
 
-    Chunks end where a rolling hash says so and hold `average` bytes or so. Each task encodes a chunk once for all
-    documents it meets it in, within bounded memory; nothing is shuffled.
+    Chunks end where a rolling hash says so and hold `average` bytes or so. A task uses a chunk's tokens again while it
+    holds them, that is within about 1 MB of other distinct chunks; farther copies are encoded again, with words that
+    are mostly known by then. Nothing is shuffled.
     """
     import pyarrow as pa
 
