@@ -194,13 +194,15 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least:
     id in the class and kept says whether the row has it. Texts of equal words are one text: null, empty and blank ones
     too. Rows that repeat an id are judged each; a null id counts as the largest; extra columns are ignored.
 
-    A pair at similarity s shares a sketch key with probability near 1 - (1 - s**least)**sketch: 0.99999 at 0.8.
-    Texts that keys connect form a family. One with up to `family` k-mers is solved in one task, where k-mers that only one
-    text has bound what it can share: few texts remain to be compared, and none that others connect already. Larger ones
-    are solved key by key. Of a key with more than `family` k-mers all texts are verified against one of them, the hub.
-    Those linked to it leave the key, unless they are so far from the hub that they may match one that isn't linked
-    (distances obey the triangle inequality); the rest meets again. So no large group is ever paired with itself. The
-    similarity of all k-mers decides first; alignment can only confirm it.
+    Only texts that share a sketch key are compared, whatever the size of their group. A pair at similarity s shares one
+    with probability near 1 - (1 - s**least)**sketch: 0.99999 at 0.8. Texts that keys connect form a family. One with up
+    to `family` k-mers is solved in one task, where k-mers that only one text has bound what it can share: few texts
+    remain to be compared, and none that others connect already. Larger ones are dealt key by key. Of a key with more
+    than `family` k-mers all texts are verified against hubs among them. A text that is linked to a hub leaves the key,
+    unless it is so far from the hub that it may match one that isn't linked (distances obey the triangle inequality);
+    hubs leave too, and the rest meets again, with four times as many hubs, so rounds grow with the logarithm of a key's
+    texts. `family` says how the work is dealt and changes no class. The similarity of all k-mers decides first;
+    alignment can only confirm it.
     """
     import pyarrow as pa
     import zstandard
@@ -235,10 +237,11 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least:
         """Edges from each text of a family to the least one that links connect it to.
 
         A text's k-mers that no other one has can't be shared, so its other k-mers bound every overlap. Two texts are
-        compared only if that bound and their sizes allow the threshold and nothing connects them yet.
+        compared only if they share a key, that bound and their sizes allow the threshold and nothing connects them yet.
         """
         common.trim()
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rep", "node", "packed")), strict=True))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rep", "node", "packed", "keys")), strict=True))
+        held = [set(r[3]) for r in rows]
         texts = [Text(zstandard.decompress(r[2])) for r in rows]
         n = np.array([len(t.kmers) for t in texts])
         every = np.concatenate([t.kmers for t in texts])
@@ -259,7 +262,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least:
             near = before[(overlap >= least * (n[before] + n[i]) - 1e-9) & (group[before] != group[i])]
             while len(near):
                 j, near = near[0], near[1:]
-                if 1 - jaccard(texts[i], texts[j]) <= far and linked(texts[i], texts[j], threshold):
+                if not held[i].isdisjoint(held[j]) and 1 - jaccard(texts[i], texts[j]) <= far and linked(texts[i], texts[j], threshold):
                     group[group == group[j]] = group[i]
                     near = near[group[near] != group[i]]
         least_node: dict[int, bytes] = {}
@@ -273,41 +276,45 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 16, least:
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     placed = nodes.select("node", "rep", "size", F.explode(F.array_distinct("keys")).alias("key"))
 
-    def crowded(df: DataFrame) -> DataFrame:
-        """Rows of keys that more than one text has: with load, the k-mers of all its texts, and hub, the text with the
-        most company in all its keys."""
+    def crowded(df: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+        """Rows of keys that more than one text has, with load, the k-mers of all a key's texts; and each key's hubs, up
+        to so many: of each part of its texts the one with the most company in all its keys."""
         many = df.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("load")).where("n > 1")
         rows = common.cut(df.select("node", "rep", "size", "key").join(many, "key"))
         company = rows.groupBy("node").agg(F.sum("n").alias("company"))
-        rows = rows.join(company, "node")
-        hubs = rows.groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "node")).alias("first"))
-        return common.cut(rows.drop("n", "company").join(hubs.select("key", F.col("first.node").alias("hub")), "key"))
+        part = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")
+        first = rows.join(company, "node").groupBy("key", part).agg(F.min(F.struct(-F.col("company"), "rep", "node")).alias("first"))
+        return rows.drop("n"), common.cut(first.select("key", F.col("first.node").alias("hub")))
 
-    active = crowded(placed)
+    active, hubs = crowded(placed, 1)
     wanted = active.select("node", "rep").distinct()
     texts = common.cut(rows.mapInArrow(pack, "doc_id long, node binary, packed binary").join(wanted.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"]).groupBy("node").agg(F.first("packed").alias("packed")))
     links = []
 
     def solved(members: DataFrame, by: str) -> None:
-        found = members.join(texts, "node").select(by, "rep", "node", "packed").groupBy(by).applyInArrow(solve, "a binary, b binary")
+        found = members.join(texts, "node").select(by, "rep", "node", "packed", "keys").groupBy(by).applyInArrow(solve, "a binary, b binary")
         links.append(common.cut(found))
 
-    label = components(active.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    sizes = active.groupBy("node", "rep").agg(F.first("size").alias("size"))
-    load = label.join(sizes, "node").groupBy("label").agg(F.sum("size").alias("load"))
+    label = components(active.join(hubs, "key").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    held = active.groupBy("node", "rep").agg(F.first("size").alias("size"), F.collect_set("key").alias("keys"))
+    load = label.join(held.select("node", "size"), "node").groupBy("label").agg(F.sum("size").alias("load"))
     sized = common.cut(label.join(load, "label").select("node", F.col("label").alias("family"), (F.col("load") <= family).alias("small")))
-    solved(sizes.join(sized.where("small"), "node"), "family")
+    solved(held.join(sized.where("small"), "node"), "family")
     active = common.cut(active.join(sized.where(~F.col("small")).select("node"), "node"))
+    turn = 1
     while active.limit(1).count():
-        solved(active.where(F.col("load") <= family), "key")
-        met = active.where((F.col("load") > family) & (F.col("node") != F.col("hub")))
-        pairs = met.select("node", "hub").distinct()
-        read = pairs.join(texts.withColumnRenamed("packed", "left"), "node").join(texts.select(F.col("node").alias("hub"), F.col("packed").alias("right")), "hub")
+        solved(active.where(F.col("load") <= family).withColumn("keys", F.array("key")), "key")
+        large = active.where(F.col("load") > family)
+        met = large.join(hubs, "key").where(F.col("node") != F.col("hub"))
+        read = met.select("node", "hub").distinct().join(texts.withColumnRenamed("packed", "left"), "node").join(texts.select(F.col("node").alias("hub"), F.col("packed").alias("right")), "hub")
         found = common.cut(read.select("node", "hub", "left", "right").mapInArrow(verify, "node binary, hub binary, distance double, link boolean"))
         links.append(found.where("link").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        judged = met.join(found, ["node", "hub"]).select("key", "node", "rep", "size", "distance", "link")
-        nearest = judged.where(~F.col("link")).groupBy("key").agg(F.min("distance").alias("nearest"))
-        active = crowded(judged.join(nearest, "key").where(~F.col("link") | (F.col("distance") >= F.col("nearest") - far)))
+        judged = met.select("key", "node", "hub").join(found, ["node", "hub"])
+        nearest = judged.where(~F.col("link")).groupBy("key", "hub").agg(F.min("distance").alias("nearest"))
+        near = judged.where("link").join(nearest, ["key", "hub"], "left").where(F.col("distance") < F.coalesce("nearest", F.lit(2.0)) - far)
+        leaves = near.select("key", "node").unionByName(hubs.select("key", F.col("hub").alias("node"))).distinct()
+        turn *= 4
+        active, hubs = crowded(large.join(leaves, ["key", "node"], "left_anti"), turn)
     ids = nodes.select("node", "rep")
     joined = links[0]
     for x in links[1:]:

@@ -60,9 +60,37 @@ def test_against_all_pairs(spark):
         least[root(i)] = min(least.get(root(i), big), key[i])
     want = sorted((key[i], least[root(i)]) for i in range(len(rows)))
     df = spark.createDataFrame([(*r, b"n", 1) for r in rows], "doc_id long, text string, node binary, key int")
-    for family in (4_000_000, 400):
+    for family in (4_000_000, 20):
         out = near_dedup(df, family=family).collect()
         got = sorted((big if r.doc_id is None else r.doc_id, big if r.class_id is None else r.class_id) for r in out)
         assert got == want
     assert len({c for _, c in want}) < len(rows) - 30
     assert near_dedup(df.limit(0)).count() == 0
+
+
+def test_unlike_texts_that_share_much_meet_in_few_rounds(spark, monkeypatch):
+    """Texts of which half is the same share keys and aren't alike: with hubs alone, rounds grow with their logarithm."""
+    from lodestone.llm import common
+
+    rng = random.Random(9)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(120))
+    rows = [(i, shared + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(70))) for i in range(30)]
+    rows += [(100 + i, t + " z") for i, t in rows[:3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = []
+    cut = common.cut
+    monkeypatch.setattr(common, "cut", lambda x: written.append(1) or cut(x))
+    whole = {(r.doc_id, r.class_id) for r in near_dedup(df).collect()}
+    assert whole == {(i, i) for i in range(30)} | {(100 + i, i) for i in range(3)}
+    few = len(written)
+    assert {(r.doc_id, r.class_id) for r in near_dedup(df, family=400).collect()} == whole
+    assert len(written) - 2 * few < 6 * 4  # at most log4(33) rounds and one
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    other = [w if rng.random() < 0.98 else "x" for w in words]
+    far = [w if rng.random() < 0.5 else "y" for w in words]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup(df).collect()} == {(1, 1), (2, 1), (3, 3)}
