@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -32,9 +33,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share, as the session names it; a new local one where it names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session may have none:
+    it gets a folder of its own. On a cluster that would lose data, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp()
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -81,7 +85,10 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 class Rolling:
-    """Rabin-Karp hashes modulo 2**64 of any ranges of a sequence, from sums of its prefixes."""
+    """Rabin-Karp hashes modulo 2**64 of any ranges of a sequence, from sums of its prefixes.
+
+    Sequences of two values in a certain order collide from 1024 values on, so ranges should be short, or be compared.
+    """
 
     def __init__(self, values: np.ndarray):
         self.inverse = powers(len(values) + 1, _B_INV)
@@ -92,14 +99,23 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
-def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 19) -> np.ndarray:
-    """Rolling hashes of ranges in the order of their starts, over `step` bytes of starts at a time, for little memory."""
-    out = np.empty(len(start), np.uint64)
-    cut = np.searchsorted(start, np.arange(0, len(buf) + step, step))
-    for s, i, j in zip(range(0, len(buf) + step, step), cut[:-1], cut[1:], strict=False):
-        if i < j:
-            out[i:j] = Rolling(buf[s : end[j - 1]]).of(start[i:j] - s, end[i:j] - s)
-    return out
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, eight bytes at a time, each step mixed over all bits; ranges over 64 bytes by
+    BLAKE2. Unlike a polynomial it has no family of texts that collide."""
+    size = end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+    at = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    some, k = np.flatnonzero((size > 0) & (size <= 64)), 0
+    while len(some):
+        left = size[some] - k
+        h[some] = mix(h[some] ^ at[start[some] + k] & _KEPT[np.minimum(left, 8)])
+        some, k = some[left > 8], k + 8
+    for i in np.flatnonzero(size > 64).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def trim() -> None:
@@ -117,12 +133,11 @@ def trim() -> None:
 
 def words(texts: list[bytes], separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word of all texts, and the number of words before each text and after the last."""
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    gap = separator[buf]
+    data = b"\n".join(texts) + b"\n"
+    gap = separator[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
     start, end = edge[::2], edge[1::2]
-    length = (end - start).astype(np.uint64)
-    hashes = mix(hash_ranges(buf, start, end) + length)
+    hashes = hash_words(data, start, end)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(start, at)
 

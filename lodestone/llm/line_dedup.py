@@ -31,7 +31,7 @@ class Lines:
         gap = common._SPACE[buf]
         edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
         begin, stop = edge[::2], edge[1::2]
-        token = common.mix(common.hash_ranges(buf, begin, stop) + (stop - begin).astype(np.uint64))
+        token = common.hash_words(self.bytes, begin, stop)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[buf] | (buf == 0), dtype=np.int32)])
         field = digits[stop] > digits[begin]
         self.first = np.searchsorted(begin, self.start)
@@ -40,7 +40,9 @@ class Lines:
         bare = (self.n > 0) & (fields[self.first + self.n] - fields[self.first] == self.n)  # these keep their tokens
         token[field & ~np.repeat(bare, self.n)] = _FIELD
         self.token, self.begin, self.stop = token, begin, stop
-        self.key = common.Rolling(token).of(self.first, self.first + self.n)
+        place = (np.arange(len(token)) - np.repeat(self.first, self.n)).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(token ^ common.mix(place + np.uint64(1))))])
+        self.key = common.mix(sums[self.first + self.n] - sums[self.first] + self.n.astype(np.uint64))
         leaf = common.mix(self.n.astype(np.uint64))
         for i in range(depth):
             has = self.n > i

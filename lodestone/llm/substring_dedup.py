@@ -11,35 +11,61 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _block(table):
-    """A block's documents in the order of their ids: ids and texts as bytes."""
-    ids = table.column("doc_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    texts = common.utf8(table.column("text"))
-    return ids[order], [texts[i] for i in order]
-
-
-def _windows(texts: list[bytes], span: int):
-    """Hash and document of each window, the words before each document, and the windows' first words."""
-    hashes, before = common.words(texts)
-    if len(hashes) < span:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, before, none
-    doc = np.repeat(np.arange(len(texts)), np.diff(before))
-    first = np.arange(len(hashes) - span + 1)
-    first = first[doc[: len(first)] == doc[span - 1 :]]
-    return common.Rolling(hashes).of(first, first + span), doc[first], before, first
-
-
-def _distinct(h: np.ndarray):
-    """Distinct hashes in order, where each first occurs, and for each window the place of its hash."""
-    order = np.argsort(h, kind="stable")
-    ranked = h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    place = np.empty(len(h), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], place
+class _Block:
+    """A block's documents in the order of their ids, and the Rabin-Karp hash of every window of their words."""
+
+    def __init__(self, table, span: int):
+        ids = table.column("doc_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        texts = common.utf8(table.column("text"))
+        self.ids, self.texts, self.span = ids[order], [texts[i] for i in order], span
+        self.words, self.before = common.words(self.texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(self.before))
+        first = np.arange(max(0, len(self.words) - span + 1))
+        self.first = first[doc[: len(first)] == doc[len(doc) - len(first) :]]
+        self.doc = doc[self.first]
+        self.hash = common.Rolling(self.words).of(self.first, self.first + span)
+        order = np.argsort(self.hash, kind="stable")
+        ranked = self.hash[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.distinct, self.earliest = ranked[new], order[new]
+
+    def cut(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Where each bucket begins among hashes in order."""
+        return np.searchsorted(common.bucket_of(h, n), np.arange(n + 1))
+
+    def several(self) -> np.ndarray:
+        """Of each distinct hash whether documents of different ids have it here."""
+        out = np.zeros(len(self.distinct), bool)
+        out[self.place[self.ids[self.doc] != self.ids[self.doc[self.earliest]][self.place]]] = True
+        return out
+
+    def compared(self, twice: np.ndarray):
+        """Of windows whose hash occurs twice: which they are, the distinct ones by hash and a second hash that mixes in
+        word after word, the first window of each, and of every such window its place among the distinct ones."""
+        some = np.flatnonzero(twice[self.place])
+        first, other = self.first[some], np.zeros(len(some), np.uint64)
+        for i in range(self.span):
+            other = common.mix(other * np.uint64(3) + self.words[first + i])
+        order = np.lexsort((other, self.hash[some]))
+        h, g = self.hash[some][order], other[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return some, h[new], g[new], some[order[new]], place
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their keys, where each run of equal keys begins, and the runs' lengths."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    run = np.flatnonzero(new)
+    return order, run, np.diff(run, append=len(order))
 
 
 def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20, least_blocks: int = 48) -> DataFrame:
@@ -50,62 +76,75 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
     removed runs. A null or empty text has no words and an empty kept text; rows that repeat an id are judged
     each, and never against each other; a null id counts as the largest. Extra columns are ignored.
 
-    Documents are hashed to blocks. A block sends each distinct window hash once, with the smallest id that has
-    it there, to the bucket of the hash, so a window held by a third of all documents sends one hash from each
-    block. The bucket answers one bit for each hash: whether another document with a smaller id has it. The block
-    recomputes its windows and applies the bits. Window hashes have 64 bits: among n distinct windows about
-    n*n / 2**65 pairs meet by chance.
+    Documents are hashed to blocks. A block sends each distinct window hash once to the bucket of the hash, so a window
+    held by a third of all documents sends one hash from each block, and buckets count in how many documents it
+    occurs. Only windows that occur twice are sent again, with a second hash of their words and the smallest id that
+    has them in the block; buckets answer a bit for each, whether a smaller id has the same window elsewhere. Windows
+    count as equal if both hashes are, 128 bits in all; the second mixes word by word, and words are hashed likewise.
     """
     import pyarrow as pa
 
     dealt, n_blocks = common.in_blocks(common.documents(docs), block_bytes, least_blocks)
     n_buckets = -(-n_blocks // 4)
 
-    def send(table):
-        ids, texts = _block(table)
-        block = table.column("block")[0].as_py()
-        h, doc, _, _ = _windows(texts, span)
-        h, at, _ = _distinct(h)
-        doc = doc[at]
-        cut = np.searchsorted(common.bucket_of(h, n_buckets), np.arange(n_buckets + 1))
-        listed = common.pack(np.diff(ids, prepend=0))
+    def message(table, cut, **columns):
         full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
         return pa.table({
             "bucket": pa.array(full, pa.int32()),
-            "block": pa.array([block] * len(full), pa.int32()),
-            "ids": pa.array([listed] * len(full), pa.binary()),
-            "windows": pa.array([common.pack(np.diff(h[cut[b] : cut[b + 1]], prepend=np.uint64(0)), doc[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
+            "block": pa.array([table.column("block")[0].as_py()] * len(full) if full else [], pa.int32()),
+            "sent": pa.array([common.pack(*(np.diff(v[cut[b] : cut[b + 1]], prepend=v.dtype.type(0)) if k == "hash" else v[cut[b] : cut[b + 1]] for k, v in columns.items())) for b in full], pa.binary()),
         })
 
-    def judge(table):
-        got = [(common.unpack(w, 2), np.cumsum(common.unpack(i, 1)[0].view(np.int64))) for w, i in zip(table.column("windows").to_pylist(), table.column("ids").to_pylist(), strict=True)]
-        h = np.concatenate([np.cumsum(w[0]) for w, _ in got])
-        ids = np.concatenate([i[w[1].view(np.int64)] for w, i in got])
-        order = np.argsort(h, kind="stable")
-        ranked = h[order]
-        run = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        least = np.repeat(np.minimum.reduceat(ids[order], run), np.diff(run, append=len(h)))
-        later = np.empty(len(h), bool)
-        later[order] = least < ids[order]
-        cut = np.cumsum([0] + [len(w[0]) for w, _ in got])
+    def answers(table, got, bit):
+        cut = np.cumsum([0] + [len(g[0]) for g in got])
         return pa.table({
             "block": table.column("block"),
             "bucket": table.column("bucket"),
-            "later": pa.array([np.packbits(later[cut[i] : cut[i + 1]]).tobytes() for i in range(len(got))], pa.binary()),
+            "bits": pa.array([np.packbits(bit[cut[i] : cut[i + 1]]).tobytes() for i in range(len(got))], pa.binary()),
         })
 
+    def answered(block, table, h, later):
+        out = np.zeros(len(h), bool)
+        cut = block.cut(h, n_buckets)
+        for b, bits, own in zip(*(table.column(c).to_pylist() for c in ("bucket", "bits", "later")), strict=True):
+            if own == later:
+                out[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[b + 1] - cut[b])
+        return out
+
+    def send(table):
+        block = _Block(table, span)
+        return message(table, block.cut(block.distinct, n_buckets), hash=block.distinct, several=block.several())
+
+    def count(table):
+        got = [common.unpack(x, 2) for x in table.column("sent").to_pylist()]
+        order, run, n = _runs(np.concatenate([np.cumsum(g[0]) for g in got]))
+        twice = np.empty(len(order), bool)
+        twice[order] = np.repeat((n > 1) | (np.add.reduceat(np.concatenate([g[1] for g in got])[order], run) > 0), n)
+        return answers(table, got, twice)
+
+    def send_again(left, right):
+        block = _Block(left, span)
+        _, h, other, first, _ = block.compared(answered(block, right, block.distinct, False))
+        return message(left, block.cut(h, n_buckets), hash=h, other=other, doc=block.ids[block.doc[first]])
+
+    def judge(table):
+        got = [common.unpack(x, 3) for x in table.column("sent").to_pylist()]
+        doc = np.concatenate([g[2].view(np.int64) for g in got])
+        order, run, n = _runs(np.concatenate([g[1] for g in got]), np.concatenate([np.cumsum(g[0]) for g in got]))
+        later = np.empty(len(doc), bool)
+        later[order] = np.repeat(np.minimum.reduceat(doc[order], run), n) < doc[order]
+        return answers(table, got, later)
+
     def apply(left, right):
-        ids, texts = _block(left)
-        h, doc, before, first = _windows(texts, span)
-        h, at, place = _distinct(h)
-        cut = np.searchsorted(common.bucket_of(h, n_buckets), np.arange(n_buckets + 1))
-        later = np.zeros(len(h), bool)
-        for b, bits in zip(right.column("bucket").to_pylist(), right.column("later").to_pylist(), strict=True):
-            later[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[b + 1] - cut[b])
-        goes = first[later[place] | (ids[doc] > ids[doc[at]][place])] if len(first) else first
+        block = _Block(left, span)
+        ids, texts, before = block.ids, block.texts, block.before
+        some, h, _, first, place = block.compared(answered(block, right, block.distinct, False))
+        later = answered(block, right, h, True)
+        own = ids[block.doc]
+        goes = block.first[some[later[place] | (own[some] > own[first][place])]]
         depth = np.zeros(before[-1] + 1, np.int32)
-        depth[goes] += 1
-        depth[goes + span] -= 1
+        depth += np.bincount(goes, minlength=len(depth)).astype(np.int32)
+        depth -= np.bincount(goes + span, minlength=len(depth)).astype(np.int32)
         removed = np.cumsum(depth)[:-1] > 0
         kept, n_removed, n_spans = [], [], []
         for t, i, j in zip(texts, before[:-1], before[1:], strict=True):
@@ -122,11 +161,13 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
         })
 
-    sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, ids binary, windows binary")
-    judged = sent.groupBy("bucket").applyInArrow(judge, "block int, bucket int, later binary")
+    sent, answer = "bucket int, block int, sent binary", "block int, bucket int, bits binary"
+    counted = dealt.groupBy("block").applyInArrow(send, sent).groupBy("bucket").applyInArrow(count, answer).withColumn("later", F.lit(False))
+    again = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(send_again, sent)
+    judged = again.groupBy("bucket").applyInArrow(judge, answer).withColumn("later", F.lit(True))
     return (
         dealt.groupBy("block")
-        .cogroup(judged.groupBy("block"))
+        .cogroup(counted.unionByName(judged).groupBy("block"))
         .applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept_text string")
         .withColumn("doc_id", common.own_id())
     )

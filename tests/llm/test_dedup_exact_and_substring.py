@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.llm.exact_dedup import CuckooIndex, exact_dedup
@@ -73,6 +74,35 @@ def test_substring_dedup(spark, rows):
     assert got == want
 
 
+def thue_morse(n, one, other):
+    return [(one, other)[i.bit_count() % 2] for i in range(n)]
+
+
+def test_words_and_windows_that_a_polynomial_confuses(spark):
+    """A Thue-Morse word of 1024 letters has the polynomial hash of its complement, modulo any power of 2 up to 64."""
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, "".join(thue_morse(2048, "a", "b")) + " " + tail), (2, "".join(thue_morse(2048, "b", "a")) + " " + tail)]
+    rows += [(3, " ".join(thue_morse(16, "x", "y"))), (4, " ".join(thue_morse(16, "y", "x")))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    """With a window hash of 3 bits windows collide, and the second hash still tells them apart."""
+    import pyarrow as pa
+
+    from lodestone.llm import common
+    from lodestone.llm.substring_dedup import _Block
+
+    keep = common.Rolling.of
+    monkeypatch.setattr(common.Rolling, "of", lambda self, a, b: common.mix(keep(self, a, b) & np.uint64(7)))
+    block = _Block(pa.table({"doc_id": [1, 2], "text": ["a b c d e f g h", "a b c d e x y z"]}), 3)
+    some, h, other, first, place = block.compared(np.ones(len(block.distinct), bool))
+    assert len(block.distinct) < 9 and len(some) == 12
+    assert len(h) == len(set(other.tolist())) == 9
+    assert (block.words[block.first[first[place]]] == block.words[block.first[some]]).all()
+
+
 @pytest.mark.parametrize("hot", [3, 1024])
 def test_suffix_dedup(spark, rows, hot):
     span = 100
