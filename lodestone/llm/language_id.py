@@ -14,7 +14,12 @@ from pyspark.sql.window import Window
 from . import common
 
 _BITS = 16
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter. Fractions, superscripts and the like count as word characters but are none."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -59,21 +64,26 @@ class Model:
         return best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1).astype(float)
 
 
-def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, rows_in_all: int = 19_200, landmarks_in_all: int = 1536, longest: int = 3, ridge: float = 1e-2) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, rows_in_all: int = 19_200, landmarks_in_all: int = 768, longest: int = 3, ridge: float = 1e-2) -> Model | None:
     """Learns every lang value of rows that aren't held out; None if there are none.
 
-    The sample is bounded: of each language the `per_language` rows whose ids hash smallest, or its equal share of
+    The sample is bounded: of each language the `per_language` rows whose id and text hash smallest, or its equal share of
     `rows_in_all` if that is less, and one at least. Executors turn whole texts into 8 KB of n-gram bits each, and
     only those are gathered; they are unpacked a few at a time. `landmarks` of each language's rows, or its share of
     `landmarks_in_all`, are the Nyström landmarks.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    languages = known.select("lang").distinct().count()
+    counts = common.cut(known.groupBy("lang").agg(F.count("*").alias("rows")))
+    languages = counts.count()
     if not languages:
         return None
     per_language, landmarks = min(per_language, max(1, rows_in_all // languages)), min(landmarks, max(1, landmarks_in_all // languages))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language).drop("turn").limit(per_language * languages)
+    # the rows that hash smallest lie under this bar, with room to spare, so few rows of a language are dealt to rank them
+    turn = F.xxhash64("doc_id", "text")
+    bar = (F.lit(4.0) * per_language + 1000) / F.col("rows") * float(1 << 64) - float(1 << 63)
+    near = known.join(F.broadcast(counts), "lang").where(turn.cast("double") <= bar).select("doc_id", "lang", "text", turn.alias("turn"))
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id")))
+    picked = ranked.where(F.col("n") <= per_language).select("doc_id", "lang", "text")
 
     import pyarrow as pa
 
@@ -84,7 +94,7 @@ def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 24, rows_in_a
                 packed = np.packbits(presence([t.lower().encode() for t in part.column("text").to_pylist()], longest), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(bits, "doc_id long, lang string, bits binary").collect()
+    rows = picked.mapInArrow(bits, "doc_id long, lang string, bits binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.bits))
@@ -125,7 +135,7 @@ def language_id(docs: DataFrame, model: Model | None = None, lettered: bool = Fa
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 texts = part.column("text").to_pylist()
-                some = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+                some = [k for k, t in enumerate(texts) if t and has_letter(t)]
                 if lettered:
                     part, texts, some = part.take(pa.array(some, pa.int64())), [texts[k] for k in some], list(range(len(some)))
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import Encoder, bpe, cut_points
+from lodestone.llm.bpe import Encoder, bpe
 from lodestone.llm.language_id import language_id
 
 ODD = [
@@ -54,10 +54,25 @@ def test_equal_passages_are_cut_alike_and_encoded_once(tokenizer):
     passage = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)).encode()
     encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), average=256)
     for lead in (b"", b"some other words first ", b"x" * 777 + b" "):
-        t = lead + passage
-        n, ids, _ = encoder.text(t, cut_points([t], 256)[0])
-        assert n == len(ids.split())
-    assert encoder.reused > encoder.encoded
+        (got,) = encoder.texts([lead + passage])
+        assert got.tolist() == tokenizer.encode((lead + passage).decode(), add_special_tokens=False).ids
+    assert encoder.reused > encoder.encoded and not encoder.widened
+
+
+def test_words_of_all_shapes_and_stores_that_forget(tokenizer):
+    """Marks, bars, special tokens, cases and punctuation in one text, with stores so small that they start anew."""
+    import public_tokenizers
+
+    rng = random.Random(3)
+    pieces = ["|", "a|b", "||", "Word,", "(word)", "WORD!", "<|endoftext|>", "<|ENDOFTEXT|>", "word<|startoftext|>,", "don't", "rock'n'roll's", "e\u0301", "\u0301x", "x\u00a0y", "...", "a.b", "\u037e", "3rd", "\u00bd", "ÑandÚ,", "¿Qué?", "naïve-Über", "ÿ×÷", "Straße."]
+    texts = [" ".join(rng.choices(pieces, k=400)) for _ in range(12)]
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), average=64, words=3, chunk_bytes=1000)
+    assert encoder.direct
+    for t in texts:
+        (got,) = encoder.texts([t.encode()])
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert got.tolist() == ids
+        assert encoder.decode(got) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def test_language_held_out_accuracy(spark):
@@ -97,3 +112,44 @@ def test_every_language_is_learned(spark):
         got = language_id(df, **fitting).collect()
         assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
         assert {r.lang_pred for r in got} == {r[2] for r in rows}
+
+
+def test_only_letters_count_as_letters(spark):
+    texts = ["½ ² ① 12", "Ⅷ 5", "٣٤", "a1", "ª", "中", "_"]
+    rows = [(i, "the cat sat on the mat", "en") for i in range(9)] + [(100 + i, t, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.lang_pred for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + i] != "und" for i in range(len(texts))] == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_agrees_with_dense_kernel_ridge_regression(spark):
+    """All rows as landmarks: the Nyström model is then the plain one, solved here in its dual form over sets of n-grams."""
+    import numpy as np
+
+    from lodestone.llm.language_id import fit, presence
+
+    rng = random.Random(8)
+    words = {"a": "lorem ipsum dolor sit amet magna".split(), "b": "the cat sat upon mats dolor".split(), "c": "der hund sitzt magna unter cat".split()}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(3, 12))), k) for i in range(60) for k in [rng.choice("abc")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in df.select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("out")).collect() if not r.out]
+    asked = ["the cat", "der hund unter dem tisch", "magna dolor ipsum", "zz"] + [t for _, t, _ in rows]
+    grams = lambda t: {t.encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    kernel = lambda one, other: np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in other] for a in one])
+    own = [grams(r.text) for r in learned]
+    lang = [r.lang for r in learned]
+    target = np.array([[1.0 if x == k else -1.0 for k in "abc"] for x in lang])
+    weight = np.array([len(lang) / (3 * lang.count(x)) for x in lang])
+    alpha = np.linalg.solve(kernel(own, own) + 1 + 1e-2 * np.diag(1 / weight), target)
+    want = (kernel([grams(t) for t in asked], own) + 1) @ alpha
+    model = fit(df, landmarks=100, ridge=1e-2)
+    best, score = model.decide(presence([t.encode() for t in asked], 3))
+    assert len(model.landmarks.T) == len(learned)
+    sure = np.sort(want, axis=1)[:, -1] - np.sort(want, axis=1)[:, -2] > 0.1
+    assert sure.sum() > 50 and (best[sure] == want.argmax(1)[sure]).all()
+    assert np.abs(score - np.clip((want.max(1) + 1) / 2, 0, 1)).max() < 0.03
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "the cat sat on the mat " * (20_000 if i == 3 else 2), "en", "x", True) for i in range(12)] + [(50, "der hund " * 30_000, "de", "y", None), (51, "der hund ist da", "de", "y", None), (53, "der hund ist da", "de", "y", None)]
+    got = {r.doc_id: r for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, held_out boolean")).collect()}
+    assert len(got) == len(rows) and got[3].lang_pred == "en" and got[50].lang_pred == "de" and got[50].held_out is not None
