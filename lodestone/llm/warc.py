@@ -30,16 +30,15 @@ def record(headers: dict[str, str], http: bytes, payload: bytes) -> bytes:
     return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """The first whole record's headers, its block, and its length; length 0 if data ends before it does."""
-    end = data.find(b"\r\n\r\n")
+def parse(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """The first whole record's headers and block from `at` on, and where it ends; the end is `at` if data ends before it."""
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
-        return {}, b"", 0
-    lines = bytes(data[:end]).decode().split("\r\n")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
+        return {}, b"", at
+    headers = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
     start, n = end + 4, int(headers["Content-Length"])
     if len(data) < start + n + 4:
-        return {}, b"", 0
+        return {}, b"", at
     return headers, bytes(data[start : start + n]), start + n + 4
 
 
@@ -54,10 +53,10 @@ def records(stream, step: int = 1 << 20):
                 inflate = zlib.decompressobj(31)
         used = 0
         while True:
-            headers, block, n = parse(memoryview(held)[used:].tobytes() if used else held)
-            if not n:
+            headers, block, end = parse(held, used)
+            if end == used:
                 break
-            used += n
+            used = end
             yield headers, block
         del held[:used]
     if held:
@@ -109,6 +108,7 @@ def normalise(decisions: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrites each monolithic archive with one gzip member a record, and beside it a sidecar index of offsets.
 
     decisions: file, seq, page_id, refers_to (the page that a record revisits, else null). A row for each new file.
+    Listings are small beside the archives, so tasks are dealt by the number of archives.
     """
     import pyarrow as pa
 
@@ -135,7 +135,13 @@ def normalise(decisions: DataFrame, source: str, target: str) -> DataFrame:
             raise ValueError(f"{name} has {n} records, {len(table)} were written")
         return pa.table({"file": [out], "records": pa.array([n], pa.int64())})
 
-    return decisions.groupBy("file").applyInArrow(rewrite, "file string, records long")
+    n = _tasks(decisions.sparkSession, decisions.select("file").distinct().count())
+    return decisions.repartition(n, "file").groupBy("file").applyInArrow(rewrite, "file string, records long")
+
+
+def _tasks(spark, files: int) -> int:
+    """One archive a task as long as the cluster has cores for them, up to eight beyond."""
+    return max(1, min(files, 4 * spark.sparkContext.defaultParallelism), files // 8)
 
 
 def read_back(files: DataFrame, folder: str) -> DataFrame:
@@ -191,4 +197,5 @@ def warc(pages: DataFrame, folder: str | None = None, archive_bytes: int = 16 <<
     if fs.get_file_info(path).type.name == "Directory":
         fs.delete_dir(path)
     files = spark.read.parquet(f"{top}/warc-list")
-    return read_back(files.repartition("file"), f"{top}/warc").withColumn("page_id", common.own_id("page_id")).withColumn("refers_to", common.own_id("refers_to"))
+    n = _tasks(spark, files.count())
+    return read_back(files.repartition(n), f"{top}/warc").withColumn("page_id", common.own_id("page_id")).withColumn("refers_to", common.own_id("refers_to"))
