@@ -28,9 +28,6 @@ PATTERNS = {
     "asn": r"\bAS\d{1,10}\b",
 }
 
-# What must be in a text for a type to occur in it.
-NEEDS = {"url": "://", "email": "@", "domain": ".", "ipv4": ".", "ipv6": ":", "asn": "AS"}
-
 # Rewrites of defanged text, most specific first; the last drops zero-width characters.
 DEFANG = (
     (r"(?i)hxxps://", "https://"),
@@ -46,9 +43,9 @@ DEFANG = (
 )
 
 # Top-level domains that are accepted where no list is given.
-TLDS = tuple(
-    "com net org io co gov edu mil info biz us uk de fr ru cn jp br ca au in vn kr tw hk sg tk"
-    " xyz online site store cloud tech app dev".split()
+TLDS = (
+    "com", "net", "org", "io", "co", "gov", "edu", "mil", "info", "biz", "us", "uk", "de", "fr", "ru", "cn", "jp", "br", "ca", "au", "in", "vn", "kr", "tw", "hk", "sg", "tk",
+    "xyz", "online", "site", "store", "cloud", "tech", "app", "dev",
 )
 
 # Redaction rules in their order.
@@ -84,9 +81,9 @@ NAMESPACE = "a4d70b75-6f4a-5c66-8b6e-9c1f5d2a3e4f"
 INDICATES = ("malware", "tool", "attack-pattern", "infrastructure", "threat-actor", "intrusion-set")
 
 # Tactic names.
-TACTICS = tuple(
-    "reconnaissance resource-development initial-access execution persistence privilege-escalation defense-evasion"
-    " credential-access discovery lateral-movement collection command-and-control exfiltration impact".split()
+TACTICS = (
+    "reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion",
+    "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact",
 )
 
 EXTRACTOR = "regex_ioc@1.0.0"

@@ -41,7 +41,7 @@ def domain(v: Column, tlds=fixed.TLDS) -> Column:
 
 def email(v: Column, tlds=fixed.TLDS) -> Column:
     host = domain(F.substring_index(v, "@", -1), tlds)
-    local = F.expr("null") if v is None else F.regexp_extract(v, r"(?s)^(.*)@[^@]*$", 1)
+    local = F.regexp_extract(v, r"(?s)^(.*)@[^@]*$", 1)
     return F.when((local != "") & host.isNotNull(), F.concat(local, F.lit("@"), host))
 
 

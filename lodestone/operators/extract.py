@@ -1,50 +1,95 @@
-"""Indicators of compromise with evidence: two lanes over the same rows.
+"""Indicators of compromise with evidence.
 
-Rows without defanged text and without anything like an IPv6 address are matched by column functions. The rest, a few
-in most corpora, goes through Arrow batches where offsets survive each rewrite.
+Columns decide which texts can hold a match at all; most chunks of prose end there, inside the scan. The others go through
+Arrow batches, where each pattern runs once and offsets survive each rewrite of defanged text. `_fast` gives the same rows by
+columns alone, for text that needs no rewrite.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, normal, text
 
 VALUE_MOST, SPAN_MOST = 2048, 8192
-FOUND = "array<struct<type:string,ord:int,raw:string,normalized:string,text_span:string,start:int,end:int>>"
+MATCH = "type string, ord int, raw string, normalized string, text_span string, start int, end int"
+FOUND = "array<struct<" + MATCH.replace(" ", ":").replace(",:", ",") + ">>"
+
+#: What a text must hold for a type to occur in it, as Java and Python both read it.
+NEEDS = {
+    **dict.fromkeys(("sha512", "sha256", "sha1", "md5"), "[A-Fa-f0-9]{32}"), "ipv6": "::|(?:[0-9A-Fa-f]{1,4}:){2}", "ipv4": r"\d\.\d", "url": "(?i)https?://", "email": "@", "domain": r"[A-Za-z0-9]\.[A-Za-z]", "cve": "(?i)cve-", "asn": r"AS\d",
+}
+_ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+_STOP = re.compile(f"[/\\])]|[{_ZERO_WIDTH}]")
+#: By the last character of a token: the token in small letters, the pattern that ends in it, and what replaces it.
+_TOKENS: dict[str, list] = {}
+for _p, _new in fixed.DEFANG:
+    if _new:
+        _plain = _p.removeprefix("(?i)").removeprefix(r"\b").replace("\\", "")
+        _TOKENS.setdefault(_plain[-1], []).append((_plain, re.compile(("(?i)" if _p.startswith("(?i)") else "") + f"(?:{_p.removeprefix('(?i)')})\\Z"), _new))
+_LONGEST = 9  #: characters of the longest token and one before it
+
+
+def candidate(t: Column) -> Column:
+    """Whether a text can hold a match."""
+    some = t.contains("@") | t.contains("::")
+    for p in dict.fromkeys(NEEDS.values()):
+        some = some | t.rlike(text.java(p))
+    return some | text.defanged(t)
 
 
 def exact_needed(t: Column) -> Column:
-    return text.defanged(t) | (t.contains(":") & t.rlike("::|(?:[0-9A-Fa-f]{1,4}:){2}"))
+    """Whether columns can't find a text's matches: defanged text, IPv6 addresses, numbers in other digits than 0 to 9."""
+    return text.defanged(t) | (t.contains(":") & t.rlike(NEEDS["ipv6"])) | t.rlike(r"(?U)AS[0-9]*[\d&&[^0-9]]")
 
 
-def refang_with_origin(s: str) -> tuple[str, list[int]]:
-    """The text after all rewrites, and for each of its characters where it came from.
+def refanged(s: str) -> tuple[str, list[int]]:
+    """The text after all rewrites, and where each of its characters came from; the last entry is the length of `s`.
 
-    The first rule that applies anywhere rewrites its first place, and the search begins again. What it writes comes
-    from where the rewritten part began.
+    What a rewrite puts in comes from where the rewritten part began. A token can end only where a slash, a bracket or
+    a parenthesis stands, so the text is read once, and the end of what is written so far is looked at there, as often
+    as a rewrite makes another one fit. Zero-width characters go last, in a second reading.
     """
-    import re
-
-    rules = [(re.compile(p), new) for p, new in fixed.DEFANG]
-    origin = list(range(len(s)))
-    while True:
-        hit = next(((m.start(), m.end(), new) for rule, new in rules if (m := rule.search(s))), None)
-        if hit is None:
-            return s, origin
-        i, j, new = hit
-        s = s[:i] + new + s[j:]
-        origin[i:j] = origin[i : i + 1] * len(new)
-
 
-def resolve(origin: list[int], length: int, start: int, end: int) -> tuple[int, int]:
-    """Where a span of the rewritten text stands in the original of `length` characters: up to where what follows began."""
-    if not 0 <= start <= len(origin) or end > len(origin):
-        raise IndexError(f"{start}..{end} is outside of {len(origin)} characters")
-    if start >= end:
-        return start, start
-    return origin[start], origin[end] if end < len(origin) else length
+    def read(s: str, origin: list[int], dropped: str) -> tuple[list[str], list[int]]:
+        out, at, done = [], [], 0
+        for m in _STOP.finditer(s):
+            i = m.start()
+            stop = i if m.group() in dropped else i + 1
+            out.extend(s[done:stop])
+            at.extend(origin[done:stop])
+            done = i + 1
+            fits = stop > i
+            while fits:
+                fits = False
+                end = "".join(out[-_LONGEST:])
+                small = end.casefold()
+                for plain, token, new in _TOKENS.get(small[-1], ()):
+                    if small.endswith(plain) and (hit := token.search(end)):
+                        n = len(hit.group())
+                        out[-n:] = new
+                        at[-n:] = [at[-n]] * len(new)
+                        fits = True
+                        break
+        out.extend(s[done:])
+        at.extend(origin[done:])
+        return out, at
+
+    out, at = read(s, list(range(len(s))), "")
+    if any(c in s for c in _ZERO_WIDTH):
+        out, at = read("".join(out), at, _ZERO_WIDTH)
+    return "".join(out), [*at, len(s)]
+
+
+def resolve(places: list[int], start: int, end: int) -> tuple[int, int]:
+    """Where a span of the rewritten text stands in the original: up to where what follows began. Empty spans stay."""
+    if not (0 <= start < len(places) and end < len(places)):
+        raise IndexError(f"{start}..{end} is outside of {len(places) - 1} characters")
+    return (places[start], places[end]) if start < end else (start, start)
 
 
 def _normal_text(kind: str, v: str, tlds: frozenset) -> str | None:
@@ -96,34 +141,55 @@ def _normal_text(kind: str, v: str, tlds: frozenset) -> str | None:
     return v.lower()
 
 
+class Finder:
+    """All matches of all types in a text, each pattern run once and only where its type can occur."""
+
+    def __init__(self, tlds):
+        self.tlds = frozenset(tlds)
+        self.patterns = [(n, k, re.compile(NEEDS[k]).search, re.compile(p).finditer) for n, (k, p) in enumerate(fixed.PATTERNS.items())]
+        self.odd = re.compile("|".join(p.replace("(?i)", "") for p, _ in fixed.DEFANG), re.IGNORECASE).search
+
+    def __call__(self, s: str):
+        """Rows of MATCH."""
+        view, places = refanged(s) if self.odd(s) else (s, None)
+        needed: dict[str, bool] = {}
+        for n, kind, may, every in self.patterns:
+            if (need := NEEDS[kind]) not in needed:
+                needed[need] = may(view) is not None
+            if not needed[need]:
+                continue
+            for m in every(view):
+                raw = m.group()
+                value = _normal_text(kind, raw, self.tlds)
+                if value is None:
+                    continue
+                i, j = m.span() if places is None else resolve(places, *m.span())
+                if j > i:
+                    yield kind, n, raw, value, s[i:j], i, j
+
+
 def _exact(chunks: DataFrame, tlds) -> DataFrame:
-    """Adds `found` in Python, through Arrow batches."""
+    """A row for each match: the other columns of `chunks` and MATCH, in Python, through Arrow batches."""
     import pyarrow as pa
-    from pyspark.sql import types as T
 
-    known = frozenset(tlds)
-    item = pa.struct([("type", pa.string()), ("ord", pa.int32()), ("raw", pa.string()), ("normalized", pa.string()), ("text_span", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    fields = T._parse_datatype_string(MATCH).fields
+    known = tuple(tlds)
 
     def find(batches):
-        import re
-
-        patterns = {k: re.compile(p) for k, p in fixed.PATTERNS.items()}
+        finder = Finder(known)
         for b in batches:
-            out = []
-            for s in b.column("text").to_pylist():
-                view, origin = refang_with_origin(s)
-                rows = []
-                for n, (kind, pattern) in enumerate(patterns.items()):
-                    for m in pattern.finditer(view):
-                        i, j = resolve(origin, len(s), *m.span())
-                        value = _normal_text(kind, m.group(), known) if j > i else None
-                        if value is not None:
-                            rows.append({"type": kind, "ord": n, "raw": m.group(), "normalized": value, "text_span": s[i:j], "start": i, "end": j})
-                out.append(rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(item))], names=[*b.schema.names, "found"])
-
-    schema = T.StructType([*chunks.schema.fields, T.StructField("found", T._parse_datatype_string(FOUND))])
-    return chunks.mapInArrow(find, schema)
+            at, rows = [], []
+            for i, s in enumerate(b.column("text").to_pylist()):
+                if s is not None:
+                    for row in finder(s):
+                        at.append(i)
+                        rows.append(row)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+            others = b.drop_columns(["text"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*others.columns, *columns], names=[*others.schema.names, *(f.name for f in fields)])
+
+    return chunks.mapInArrow(find, T.StructType([*(f for f in chunks.schema.fields if f.name != "text"), *fields]))
 
 
 def _row(kind: str, n: int, norm):
@@ -135,18 +201,25 @@ def _row(kind: str, n: int, norm):
 
 
 def _fast(chunks: DataFrame, tlds) -> DataFrame:
-    """Adds `found` by column functions."""
+    """The same rows by column functions, of text that doesn't need the exact lane."""
     t = F.col("text")
     parts = []
     for n, kind in enumerate(fixed.TYPES):
-        if kind == "ipv6":
-            continue
-        norm = normal.by_type(tlds)[kind]
-        needs = t.contains(fixed.NEEDS[kind]) if kind in fixed.NEEDS else t.rlike("(?i)cve-" if kind == "cve" else "[A-Fa-f0-9]{32}")
+        if kind != "ipv6":
+            row = _row(kind, n, normal.by_type(tlds)[kind])
+            parts.append(F.when(t.rlike(text.java(NEEDS[kind])), F.filter(F.transform(text.spans(t, fixed.PATTERNS[kind]), row), lambda x: x["normalized"].isNotNull())).otherwise(F.array().cast(FOUND)))
+    # an inner explode would have its condition, and so the search, evaluated twice
+    found = chunks.withColumn("m", F.explode_outer(F.concat(*parts))).where(F.col("m").isNotNull())
+    return found.select(*(c for c in chunks.columns if c != "text"), "m.*")
 
-        row = _row(kind, n, norm)
-        parts.append(F.when(needs, F.filter(F.transform(text.spans(t, fixed.PATTERNS[kind]), row), lambda x: x["normalized"].isNotNull())).otherwise(F.array().cast(FOUND)))
-    return chunks.withColumn("found", F.concat(*parts))
+
+def found(chunks: DataFrame, tlds=fixed.TLDS, lane: str = "both") -> DataFrame:
+    """A row for each accepted match: the columns of `chunks` but its text, and MATCH. A null text has none."""
+    t = F.col("text")
+    rows = chunks.where(t.isNotNull())
+    if lane == "fast":
+        return _fast(rows, tlds)
+    return _exact(rows if lane == "exact" else rows.where(candidate(t)), tlds)
 
 
 def matches(chunks: DataFrame, tlds=fixed.TLDS, lane: str = "both") -> DataFrame:
@@ -157,21 +230,12 @@ def matches(chunks: DataFrame, tlds=fixed.TLDS, lane: str = "both") -> DataFrame
     can't be an indicator (a value over 2048 or a span over 8192 characters); such rows are kept apart by the callers.
     A null text has no matches.
     """
-    rows = chunks.select("doc_id", "chunk_id", F.col("text"), F.col("char_start").cast("int").alias("char_start")).where(F.col("text").isNotNull())
-    if lane == "exact":
-        found = _exact(rows, tlds)
-    elif lane == "fast":
-        found = _fast(rows, tlds)
-    else:
-        slow = exact_needed(F.col("text"))
-        found = _fast(rows.where(~slow), tlds).unionByName(_exact(rows.where(slow), tlds))
-    # an inner explode would have its condition, and so the search, evaluated twice
-    one = found.select("doc_id", "chunk_id", "char_start", F.explode_outer("found").alias("m")).where(F.col("m").isNotNull())
-    start, end = F.col("char_start") + F.col("m.start"), F.col("char_start") + F.col("m.end")
-    return one.select(
-        "doc_id", "chunk_id", F.col("m.type").alias("type"), F.col("m.ord").alias("ord"), F.col("m.text_span").alias("value"), F.col("m.normalized").alias("normalized"), F.col("m.text_span").alias("text_span"),
-        start.alias("char_start"), end.alias("char_end"), evidence_id(F.col("chunk_id"), start, end, F.col("m.type")).alias("evidence_id"),
-        F.when((F.length("m.text_span") > VALUE_MOST) | (F.length("m.normalized") > VALUE_MOST), "value_too_long").when(F.length("m.text_span") > SPAN_MOST, "span_too_long").alias("error_code"),
+    rows = chunks.select("doc_id", "chunk_id", F.col("text"), F.col("char_start").cast("int").alias("char_start"))
+    start, end = F.col("char_start") + F.col("start"), F.col("char_start") + F.col("end")
+    return found(rows, tlds, lane).select(
+        "doc_id", "chunk_id", "type", "ord", F.col("text_span").alias("value"), "normalized", "text_span",
+        start.alias("char_start"), end.alias("char_end"), evidence_id(F.col("chunk_id"), start, end, F.col("type")).alias("evidence_id"),
+        F.when((F.length("text_span") > VALUE_MOST) | (F.length("normalized") > VALUE_MOST), "value_too_long").when(F.length("text_span") > SPAN_MOST, "span_too_long").alias("error_code"),
     )
 
 

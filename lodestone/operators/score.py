@@ -165,15 +165,17 @@ def resolve_aliases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def reachable(spark, edges: DataFrame, start: str, depth: int = 4) -> DataFrame:
-    """Nodes within `depth` relations of a node, with the least number of them: node, hops."""
-    edges.createOrReplaceTempView("lodestone_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, hops) AS (
-              SELECT CAST(:start AS STRING), 0
-              UNION ALL SELECT e.target_ref, w.hops + 1 FROM walk w JOIN lodestone_edges e ON e.source_ref = w.node WHERE w.hops < {int(depth)})
-            SELECT node, min(hops) AS hops FROM walk GROUP BY node""",
-        args={"start": start},
-    )
+    """Nodes within `depth` relations of a node, with the least number of them: node, hops.
+
+    Every round keeps each node once, with its least hops, so walks don't multiply.
+    """
+    own = edges.select("source_ref", "target_ref").distinct()
+    level = spark.createDataFrame([(start, 0)], "node string, hops int")
+    for _ in range(depth):
+        met = level.join(own, F.col("node") == F.col("source_ref"), "left")
+        both = F.array(F.struct("node", "hops"), F.struct(F.col("target_ref").alias("node"), (F.col("hops") + 1).alias("hops")))
+        level = met.select(F.explode(both).alias("n")).select("n.*").where(F.col("node").isNotNull()).groupBy("node").agg(F.min("hops").alias("hops"))
+    return level
 
 
 def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
@@ -183,6 +185,20 @@ def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """p50, p95 and p99 of each group, interpolated, and the number of rows."""
-    p = [F.round(F.percentile(value, F.lit(q)), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return rows.groupBy(by).agg(*p, F.count(value).alias("n"))
+    """p50, p95 and p99 of each group, interpolated, and the number of rows.
+
+    Equal values are counted first; then a running count, which spills, tells where each percentile lies. Groups without
+    a value have null percentiles.
+    """
+    counts = rows.groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(value).alias("c"))
+    whole = Window.partitionBy("g")
+    upto = F.sum("c").over(whole.orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("g", "v", upto.alias("upto"), F.sum("c").over(whole).alias("n"))
+
+    def at(q: float):
+        place = (F.col("n") - 1) * F.lit(q)
+        low, high = (F.min(F.when(F.col("upto") > f(place), F.col("v"))) for f in (F.floor, F.ceil))
+        share = F.max(place - F.floor(place))
+        return F.round(low + (high - low) * share, 6)
+
+    return placed.groupBy(F.col("g").alias(by)).agg(*(at(q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)), F.max("n").alias("n"))

@@ -122,21 +122,40 @@ def attack_references(objects: DataFrame) -> DataFrame:
     return bad.unionByName(_issues(phases.where(~F.coalesce(F.col("p.phase_name"), F.lit("")).isin(*fixed.TACTICS)), "semantic", "invalid_attack_tactic", F.col("id")))
 
 
+#: The fields of bundled objects, and those that must be there.
+FIELDS = {
+    "indicator": ("confidence", "created", "description", "external_references", "id", "indicator_types", "kill_chain_phases", "modified", "name", "pattern", "pattern_type", "pattern_version", "spec_version", "type", "valid_from"),
+    "report": ("created", "description", "external_references", "id", "modified", "name", "object_refs", "published", "report_types", "spec_version", "type"),
+}
+REQUIRED = {
+    "indicator": ("created", "id", "modified", "pattern", "pattern_type", "spec_version", "type", "valid_from"),
+    "report": ("created", "id", "modified", "name", "object_refs", "published", "spec_version", "type"),
+}
+
+
+def semantic(objects: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
+    """All semantic checks of bundled objects; columns that `objects` lacks hold nothing to check."""
+    wanted = {
+        "object_refs": "array<string>", "pattern": "string", "pattern_type": "string",
+        "external_references": "array<struct<source_name:string,external_id:string>>", "kill_chain_phases": "array<struct<kill_chain_name:string,phase_name:string>>",
+    }
+    whole = objects.select("doc_id", "id", *(F.col(c) if c in objects.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()))
+    out = report_closure(whole).unionByName(indicator_fields(whole)).unionByName(attack_references(whole))
+    if relationships is None:
+        return out
+    return out.unionByName(relationship_closure(relationships, whole)).unionByName(relationship_vocabulary(relationships))
+
+
 def strict_parse(bundles: DataFrame) -> DataFrame:
     """Bundles whose JSON isn't an object with exactly the fields of a bundle, or whose objects lack required fields
     or have others than STIX defines. bundles: doc_id, bundle_id, bundle_json."""
-    fields = {
-        "indicator": "confidence created description id indicator_types kill_chain_phases external_references modified name pattern pattern_type pattern_version spec_version type valid_from".split(),
-        "report": "created description external_references id modified name object_refs published report_types spec_version type".split(),
-    }
-    required = {"indicator": "created id modified pattern pattern_type spec_version type valid_from".split(), "report": "created id modified name object_refs published spec_version type".split()}
     top = F.from_json("bundle_json", "struct<id:string,type:string,objects:array<string>>")
     rows = bundles.select("doc_id", "bundle_id", top.alias("b"), F.sort_array(F.json_object_keys("bundle_json")).alias("keys"))
     shape = F.coalesce((F.col("b.type") == "bundle") & F.col("b.id").startswith("bundle--") & (F.concat_ws(" ", "keys") == "id objects type"), F.lit(False))
     objects = rows.where(shape).select("doc_id", "bundle_id", F.explode_outer("b.objects").alias("o")).select("doc_id", "bundle_id", F.get_json_object("o", "$.type").alias("t"), F.json_object_keys("o").alias("k"))
     ok = F.lit(False)
-    for t, known in fields.items():
-        ok = ok | ((F.col("t") == t) & (F.size(F.array_except("k", F.array(*map(F.lit, known)))) == 0) & (F.size(F.array_except(F.array(*map(F.lit, required[t])), F.col("k"))) == 0))
+    for t, known in FIELDS.items():
+        ok = ok | ((F.col("t") == t) & (F.size(F.array_except("k", F.array(*map(F.lit, known)))) == 0) & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED[t])), F.col("k"))) == 0))
     bad = rows.where(~shape).select("doc_id", "bundle_id").unionByName(objects.where(~F.coalesce(ok, F.lit(False))).select("doc_id", "bundle_id")).distinct()
     return _issues(bad, "parse", "stix_parse_error", F.col("bundle_id"))
 

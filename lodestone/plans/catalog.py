@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, normal, text
 from ..operators import audit, extract, ingest, records, score, stix, validate
-from ..sources import writers
+from ..sources import tables, writers
 from . import report
 
 QUERIES: dict = {}
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, and a synthesised threat report for each event."""
-    made = table(spark, sf_dir, "events").select((F.col("event_id") + 1000000000).alias("doc_id"), F.expr(REPORT.format(sha256="sha2(cast(event_id as string), 256)")).alias("text"))
+    made = tables.spread(table(spark, sf_dir, "events").select("event_id", "user_id")).select((F.col("event_id") + 1000000000).alias("doc_id"), F.expr(REPORT.format(sha256="sha2(cast(event_id as string), 256)")).alias("text"))
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(made)
 
 
@@ -365,6 +365,69 @@ def closure_relationships(spark, sf_dir):
     return validate.relationship_closure(_rels(spark, sf_dir), objects)
 
 
+_MADE = "SELECT user_id AS doc_id, event_id AS e, 'indicator--' || event_id AS id FROM events"
+
+
+@query(
+    f"""SELECT doc_id, 'semantic' AS layer, 'indicator_missing_pattern' AS code, id AS target_id FROM ({_MADE}) WHERE e % 7 = 0
+UNION ALL SELECT doc_id, 'semantic', 'indicator_missing_pattern_type', id FROM ({_MADE}) WHERE e % 11 = 0"""
+)
+def indicator_fields_check(spark, sf_dir):
+    return validate.indicator_fields(_made_objects(spark, sf_dir))
+
+
+@query(
+    f"""SELECT doc_id, 'semantic' AS layer, 'invalid_attack_external_id' AS code, id AS target_id FROM ({_MADE}) WHERE e % 3 = 0 AND e % 5 = 0
+UNION ALL SELECT doc_id, 'semantic', 'invalid_attack_tactic', id FROM ({_MADE}) WHERE e % 2 = 0 AND e % 13 = 0"""
+)
+def attack_references_check(spark, sf_dir):
+    return validate.attack_references(_made_objects(spark, sf_dir))
+
+
+def _made_objects(spark, sf_dir):
+    """Indicators made to break the rules of fields, technique ids and tactics."""
+    e = F.col("event_id")
+    number = F.concat(F.lit("T"), (1000 + e % 500).cast("string"), F.when(e % 5 == 0, "x").when(e % 4 == 0, ".001").otherwise(""))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), F.concat(F.lit("indicator--"), e.cast("string")).alias("id"), F.when(e % 7 != 0, "[x:y = 'z']").alias("pattern"), F.when(e % 11 == 0, "").otherwise("stix").alias("pattern_type"),
+        F.array(F.struct(F.when(e % 3 == 0, "mitre-attack").otherwise("other").alias("source_name"), number.alias("external_id"))).alias("external_references"),
+        F.array(F.struct(F.when(e % 2 == 0, "mitre-attack").otherwise("own").alias("kill_chain_name"), F.when(e % 13 == 0, "chaos").otherwise("impact").alias("phase_name"))).alias("kill_chain_phases"),
+    )
+
+
+@query("SELECT user_id AS doc_id, 'parse' AS layer, 'stix_parse_error' AS code, 'bundle--' || event_id AS target_id FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0")
+def strict_parse_check(spark, sf_dir):
+    """Bundles of which some aren't JSON, lack a field, have one too many, or hold an object that isn't STIX's."""
+    return validate.strict_parse(_made_bundles(spark, sf_dir))
+
+
+def _made_bundles(spark, sf_dir):
+    e = F.col("event_id")
+    head = F.concat(F.lit('{"created":"t","id":"report--1","modified":"t","name":"n","object_refs":["indicator--1"],"published":"t","spec_version":"2.1","type":'), F.when(e % 13 == 0, '"mutex"').otherwise('"report"'), F.when(e % 5 == 0, ',"x_own":1').otherwise(""), F.lit("}"))
+    json = F.when(e % 11 == 0, "no JSON").otherwise(F.concat(F.lit('{"id":"bundle--1","objects":['), head, F.lit("]"), F.when(e % 7 == 0, "").otherwise(',"type":"bundle"'), F.lit("}")))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("bundle--"), e.cast("string")).alias("bundle_id"), json.alias("bundle_json"))
+
+
+@query(
+    f"""WITH m AS (SELECT event_id AS e, user_id FROM events), i AS (SELECT user_id, cast(e % 5 = 0 OR e % 7 = 0 OR e % 11 = 0 OR e % 13 = 0 AS int) AS parse,
+  cast(e % 7 = 0 AS int) + cast(e % 11 = 0 AS int) + cast(e % 3 = 0 AND e % 5 = 0 AS int) + cast(e % 2 = 0 AND e % 13 = 0 AS int) AS semantic FROM m)
+SELECT user_id AS doc_id, true AS pydantic_ok, sum(parse) = 0 AS parse_ok, sum(semantic) = 0 AS semantic_ok, sum(parse) = 0 AND sum(semantic) = 0 AS is_valid, sum(parse + semantic)::bigint AS n_issues FROM i GROUP BY user_id"""
+)
+def validation_of_broken_bundles(spark, sf_dir):
+    """The summary of documents whose bundles break the parse and semantic layers."""
+    docs = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct()
+    issues = validate.strict_parse(_made_bundles(spark, sf_dir)).unionByName(validate.semantic(_made_objects(spark, sf_dir)))
+    return validate.summary(docs, issues)
+
+
+@query("SELECT doc_id, '1.1' AS pipeline_version, 'x@1' AS extractor_version FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")
+def unprocessed_documents(spark, sf_dir):
+    """Documents whose last run was by the same versions are skipped."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("1.1").alias("pipeline_version"), F.lit("x@1").alias("extractor_version"))
+    return ingest.unprocessed(docs, docs.where(d % 3 == 0).withColumn("pipeline_version", F.when(d % 2 == 0, "1.1").otherwise("1.0")))
+
+
 # --- redaction and ingestion ---
 
 

@@ -46,3 +46,9 @@ def read_jdbc(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
 
 def write_jdbc(rows: DataFrame, url: str, name: str, **properties) -> None:
     rows.write.mode("append").jdbc(url, name, properties=properties)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt anew if they stand in fewer partitions than the cluster has cores, as small files do; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -18,8 +18,5 @@ def read_chunks(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 def indicators(chunks: DataFrame, delay: str = "1 hour", tlds=fixed.TLDS) -> DataFrame:
     """Each (doc_id, type, normalized) once within the delay, with its ingest time."""
     known = chunks.withWatermark("ingested_at", delay)
-    slow = extract.exact_needed(F.col("text"))
-    parts = []
-    for rows, lane in ((known.where(~slow), extract._fast), (known.where(slow), extract._exact)):
-        parts.append(lane(rows.where(F.col("text").isNotNull()), tlds).select("doc_id", "ingested_at", F.explode("found").alias("m")).select("doc_id", "ingested_at", "m.type", "m.normalized"))
-    return parts[0].unionByName(parts[1]).dropDuplicatesWithinWatermark(["doc_id", "type", "normalized"])
+    found = extract.found(known.select("doc_id", "ingested_at", "text"), tlds).select("doc_id", "ingested_at", "type", "normalized")
+    return found.dropDuplicatesWithinWatermark(["doc_id", "type", "normalized"])

@@ -36,11 +36,16 @@ def test_values_that_are_too_long_are_set_apart(spark):
 
 def test_lanes_agree(spark):
     rng = random.Random(1)
-    parts = ["8.8.8.8", "10.0.0.1", "Evil.COM", "a.b@C.net", "https://X.org/a;b;?#", "http://y.io/q?1#f", "CVE-2021-44228", "AS0042", "d" * 32, "E" * 40, "f" * 64, "0" * 128, "exämple.com", "\U0001f600", ".", ",", "x", "AS1", "http://1.2.3.4:8/"]
+    parts = ["8.8.8.8", "10.0.0.1", "Evil.COM", "a.b@C.net", "https://X.org/a;b;?#", "http://y.io/q?1#f", "CVE-2021-44228", "AS0042", "d" * 32, "E" * 40, "f" * 64, "0" * 128, "exämple.com", "\U0001f600", ".", ",", "x", "AS1", "http://1.2.3.4:8/", "1.2.3", "e.g.", "As1", "a@b"]
     texts = [rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(300)]
     rows = chunk(spark, *texts)
     fast, exact = (sorted(map(tuple, extract.matches(rows, lane=lane).collect()), key=str) for lane in ("fast", "exact"))
-    assert fast == exact and len(fast) > 300
+    both = sorted(map(tuple, extract.matches(rows).collect()), key=str)
+    assert fast == exact == both and len(fast) > 300
+    odd = chunk(spark, "AS\u0663\u0664 and AS\u0661", "\u0661.\u0662.\u0663.\u0664", "CVE-\u0662\u0660\u0662\u0664-\u0661\u0661\u0661\u0661", "plain words. And more", "see a\u200b.com", "x hxxp://e.com")
+    assert sorted(map(tuple, extract.matches(odd).collect()), key=str) == sorted(map(tuple, extract.matches(odd, lane="exact").collect()), key=str)
+    assert {r.normalized for r in extract.matches(odd).where("type = 'asn'").collect()} == {"AS34", "AS1"}
+    assert not odd.where(extract.candidate(F.col("text")) & F.col("text").startswith("plain")).count()
 
 
 def described(spark, *texts):
