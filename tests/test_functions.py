@@ -64,13 +64,16 @@ def test_one_reading_gives_what_rewriting_step_by_step_gives():
         assert refanged(s) == step_by_step(s), s
 
 
-def test_a_megabyte_of_defanged_text_takes_under_a_second():
+def test_refanging_takes_linear_time():
     import time
 
-    for s in ("hxxps://evil[.]example[.]com/a user[at]mail(.)com " * 20_000, "[" * 500_000 + "." + "]" * 500_000, "a\u200b" * 500_000):
-        began = time.process_time()
-        refanged(s)
-        assert time.process_time() - began < 3  # under one on a machine that does nothing else
+    for s in ("hxxps://evil[.]example[.]com/a user[at]mail(.)com " * 4_000, "[" * 100_000 + "." + "]" * 100_000, "a\u200b" * 100_000):
+        took = []
+        for t in (s, s * 5 if s[0] != "[" else s.replace("[", "[" * 5).replace("]", "]" * 5)):
+            began = time.process_time()
+            refanged(t)
+            took.append(time.process_time() - began)
+        assert took[1] < 15 * took[0] + 0.5
 
 
 def test_near_emails_are_searched_in_linear_time():
