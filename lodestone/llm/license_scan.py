@@ -9,23 +9,52 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Notices as their licences' texts or customary use give them.
+#: Notices and texts as their licences or customary use give them: licence, text, and the words of it that tell
+#: it from its siblings, which must stand whole where it is found.
 NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "license version 2 0"),
+    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", ""),
+    ("MIT", "Released under the MIT License.", ""),
+    ("MIT", "This project is licensed under the MIT License.", ""),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+     "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+     "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+     "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE "
+     "SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+     "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+     "DEALINGS IN THE SOFTWARE.", ""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+     "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH "
+     "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+     "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", ""),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public license version 2"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gnu general public license as / either version 2 of"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license version 3"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gnu general public license as / either version 3 of"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "gnu lesser general public license / either version 2 1 of"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "gnu lesser general public license / either version 3 of"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "gnu affero general public license / either version 3 of"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "public license v 2 0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4 0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution 4 0 international"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution sharealike 4 0 international"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial 4 0 international"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "creative commons attribution noderivatives 4 0 international"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "creative commons attribution noncommercial sharealike 4 0 international"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "creative commons attribution noncommercial noderivatives 4 0 international"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights", ""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", ""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "license version 1 0"),
 ]
+#: Licences whose conditions hold another one's: where the first is found, the second isn't reported.
+COVERS = {"BSD-3-Clause": "BSD-2-Clause"}
 
 SHINGLE = 3  #: words
 PIECE = 5  #: words of a notice that are looked for as one
@@ -69,24 +98,27 @@ def _marks(shingles: Column, start: Column, found: list[int]) -> Column:
     return F.array_distinct(F.filter(bound, lambda x: x.isin(found)))
 
 
-def notices(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(template, license_id, text) as a local relation."""
+def notices(spark: SparkSession, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """(template, license_id, text, must) as a local relation."""
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    listed = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(rows or NOTICES))
-    return spark.sql(f"SELECT * FROM VALUES {listed} AS t(template, license_id, text)")
+    listed = ", ".join(f"({i}, {quoted(a)}, {quoted(b)}, {quoted(c)})" for i, (a, b, c) in enumerate(rows or NOTICES))
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t(template, license_id, text, must)")
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, containment: float = 0.8) -> DataFrame:
     """One row for each document and licence found: doc_id, license_id, containment.
 
     Words are runs of a-z and 0-9 in lower case. containment is the share of a notice's distinct shingles that occur
     around a retrieved window, at most the notice's length away; the best of a licence's notices counts if it
-    reaches the threshold. `templates` are (licence, notice) pairs, a parameter of a few hundred at most; notices
-    under three words are never found. Null and empty texts give no rows; repeated ids count as one document; null
-    ids are kept; extra columns are ignored.
+    reaches the threshold. The words that tell a notice from its siblings (its version, Lesser, ShareAlike) must all be
+    there: `must` has them, phrases of three words or more, parted by slashes. A licence that COVERS names as covered by
+    another one of the same document isn't reported. `templates` are (licence, notice, must), a parameter of a few
+    hundred at most; notices under three words are never found. Null and empty texts give no rows; repeated ids count as
+    one document; null ids are kept; extra columns are ignored.
     """
     spark = docs.sparkSession
     known = notices(spark, templates).withColumn("shingles", _shingles(F.col("text"))).where(F.size("shingles") > 0)
+    known = known.withColumn("must", F.array_distinct(F.flatten(F.transform(F.split("must", "/"), _shingles))))
     pieces = known.select("template", F.posexplode("shingles").alias("at", "first"), "shingles").where((F.col("at") % STEP == 0) | (F.col("at") == F.size("shingles") - 1))
     own = [F.get("shingles", F.col("at") + k) for k in range(PIECE - SHINGLE + 1)]
     # a band of a notice's piece may hold any of its shingles, whichever is least beside the window's others
@@ -101,8 +133,13 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     met = words.select("doc_id", "shingles", F.explode_outer(windows).alias("w")).where(F.col("w").isNotNull())
     met = met.select("doc_id", "shingles", F.col("w.start").alias("start"), F.explode("w.marks").alias("shingle"))
     listed = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({r.template}, {r.shingle}L)" for r in rows) + " AS t(template, shingle)") if rows else marks
-    retrieved = met.join(F.broadcast(listed), "shingle").join(F.broadcast(known.select("template", "license_id", F.array_distinct("shingles").alias("wanted"))), "template")
+    retrieved = met.join(F.broadcast(listed), "shingle").join(F.broadcast(known.select("template", "license_id", F.array_distinct("shingles").alias("wanted"), "must")), "template")
     low = F.greatest(F.lit(0), F.col("start") - F.size("wanted"))
     around = F.slice("shingles", low + 1, F.col("start") + _SPAN + F.size("wanted") - low)
-    scored = retrieved.select("doc_id", "license_id", (F.size(F.array_intersect("wanted", around)) / F.size("wanted")).alias("containment"))
-    return scored.where(F.col("containment") >= containment).groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"))
+    # bound to a variable, so that the slice is worked out once
+    score = F.get(F.transform(F.array(around), lambda x: F.when(F.size(F.array_except("must", x)) == 0, F.size(F.array_intersect("wanted", x)) / F.size("wanted"))), F.lit(0))
+    scored = retrieved.select("doc_id", "license_id", score.alias("containment"))
+    best = scored.where(F.col("containment") >= containment).groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"))
+    covers = F.create_map(*(F.lit(x) for pair in COVERS.items() for x in pair))
+    covered = F.collect_set(covers[F.col("license_id")]).over(Window.partitionBy("doc_id"))  # a few rows of each document
+    return best.withColumn("covered", covered).where(~F.array_contains("covered", F.col("license_id"))).drop("covered")

@@ -78,21 +78,26 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sql() -> str:
     """Every window of every document against every notice, without retrieval."""
-    from .license_scan import NOTICES, PIECE, SHINGLE, STEP, WINDOW
+    from .license_scan import COVERS, NOTICES, PIECE, SHINGLE, STEP, WINDOW
 
-    quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for i, (a, b) in enumerate(NOTICES))
+    quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}', '{c}')" for i, (a, b, c) in enumerate(NOTICES))
     span = WINDOW - SHINGLE + 1
     assert STEP == WINDOW - PIECE + 1
-    grams = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+    grams = "list_transform(range(1, len({w}) - 1), lambda i: {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2])"
+    own, other = grams.format(w="w"), grams.format(w="v")
+    covers = ", ".join(f"('{a}', '{b}')" for a, b in COVERS.items())
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-g AS (SELECT doc_id, {grams} AS g FROM d WHERE len(w) >= 3),
-n AS (SELECT license_id, list_distinct({grams}) AS t FROM (
-  SELECT license_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (VALUES {quoted}) AS v(template, license_id, text))),
-c AS (SELECT doc_id, g, license_id, t FROM g, n WHERE list_has_any(g, t)),
+g AS (SELECT doc_id, {own} AS g FROM d WHERE len(w) >= 3),
+n AS (SELECT template, license_id, list_distinct({own}) AS t, must FROM (
+  SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (VALUES {quoted}) AS x(template, license_id, text, must))),
+q AS (SELECT template, list_distinct(flatten(list({other}))) AS q FROM (
+  SELECT template, regexp_extract_all(unnest(string_split(must, '/')), '[a-z0-9]+') AS v FROM n) GROUP BY template),
+c AS (SELECT doc_id, g, license_id, t, q FROM g, n JOIN q USING (template) WHERE list_has_any(g, t)),
 s AS (SELECT *, unnest(range(0, len(g), {STEP})) AS p FROM c),
-r AS (SELECT doc_id, license_id, len(list_intersect(t, g[greatest(0, p - len(t)) + 1 : p + {span} + len(t)])) / len(t) AS containment FROM s)
-SELECT doc_id, license_id, max(containment) AS containment FROM r WHERE containment >= 0.8 GROUP BY ALL
+a AS (SELECT doc_id, license_id, t, q, g[greatest(0, p - len(t)) + 1 : p + {span} + len(t)] AS a FROM s),
+r AS (SELECT doc_id, license_id, max(len(list_intersect(t, a)) / len(t)) AS containment FROM a WHERE list_has_all(a, q) AND len(list_intersect(t, a)) / len(t) >= 0.8 GROUP BY ALL)
+SELECT doc_id, license_id, containment FROM r WHERE NOT EXISTS (SELECT 1 FROM (VALUES {covers}) AS k(first, second) JOIN r AS o ON o.license_id = k.first WHERE k.second = r.license_id AND o.doc_id = r.doc_id)
 """
 
 

@@ -10,6 +10,39 @@ from lodestone.llm.warc import parse, read_back, records, warc
 FILL = "some words of a text that stand around it and say nothing about terms "
 
 
+def test_siblings_are_told_apart_and_edits_found(spark):
+    import random
+
+    from lodestone.llm.license_scan import NOTICES
+
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice."
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = [
+        (gpl.format("", "2"), {"GPL-2.0"}), (gpl.format("", "3"), {"GPL-3.0"}), (gpl.format("Lesser ", "2.1"), {"LGPL-2.1"}), (gpl.format("Lesser ", "3"), {"LGPL-3.0"}), (gpl.format("Affero ", "3"), {"AGPL-3.0"}),
+        (bsd, {"BSD-2-Clause"}), (bsd + third, {"BSD-3-Clause"}), (cc.format(""), {"CC-BY-4.0"}), (cc.format("-ShareAlike"), {"CC-BY-SA-4.0"}), (cc.format("-NonCommercial"), {"CC-BY-NC-4.0"}),
+        (cc.format("-NonCommercial-NoDerivatives"), {"CC-BY-NC-ND-4.0"}), ("under the GNU General Public License, version 2.", set()), (gpl.format("", "4"), set()),
+    ]
+    rows = [(i, FILL + t + " " + FILL) for i, (t, _) in enumerate(cases)]
+    rng = random.Random(1)
+    edited = []
+    for i, (name, t, must) in enumerate(NOTICES):
+        words = t.split()
+        if len(words) >= 60:
+            for k in range(20):  # 3 replaced words leave 0.8 and more of so long a text
+                w = list(words)
+                for at in rng.sample(range(20, len(w)), 3):
+                    w[at] = "changed"
+                edited.append((1000 + 100 * i + k, FILL * 2 + " ".join(w)))
+    got = {}
+    for r in license_scan(spark.createDataFrame(rows + edited, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    assert [got.get(i, set()) for i in range(len(cases))] == [want for _, want in cases]
+    found = sum(NOTICES[(i - 1000) // 100][0] in got.get(i, set()) for i, _ in edited)
+    assert len(edited) >= 40 and found >= 0.95 * len(edited)
+
+
 def test_license_scan(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     gpl = "This work is licensed under the GNU General Public License, version 3."
@@ -20,7 +53,7 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.license_id): r.containment for r in license_scan(df).collect()}
     want = {(i, "Apache-2.0"): 1.0 for i in [*range(30), 100, 101, None]} | {(101, "GPL-3.0"): 1.0, (106, "MIT"): 1.0}
     assert got == want
-    own = {(r.doc_id, r.license_id) for r in license_scan(df, [("Own", "say nothing about terms some words"), ("Short", "x")]).collect()}
+    own = {(r.doc_id, r.license_id) for r in license_scan(df, [("Own", "say nothing about terms some words", ""), ("Short", "x", "")]).collect()}
     assert own == {(i, "Own") for i in range(30) if i % 5 >= 2} | {(102, "Own")}
     assert license_scan(df.limit(0)).count() == 0
 
