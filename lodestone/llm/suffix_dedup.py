@@ -43,30 +43,18 @@ def longest_previous(order: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(order: np.ndarray, prefix: np.ndarray, cap: int) -> np.ndarray:
-    """Where the longest previous factor reaches cap. Only places that share cap bytes with a neighbour can."""
-    near = prefix >= cap
-    near[:-1] |= near[1:]
-    at = np.flatnonzero(near)
-    out = np.zeros(len(order), bool)
-    if len(at):
-        some = order[at]
-        rank = np.argsort(np.argsort(some))
-        long = longest_previous(rank, np.where(prefix[at] >= cap, cap, 0)) >= cap
-        out[some] = long[rank]
-    return out
-
-
-def _parts(rolling: common.Rolling, starts: np.ndarray, span: int, most: int):
-    """The starts whose `span` bytes may occur twice, in parts of about `most`; equal strings share a part."""
-    h = rolling.of(starts, starts + span)
-    order = np.argsort(h)
-    ranked = h[order]
-    near = np.zeros(len(h), bool)
-    near[1:] = ranked[1:] == ranked[:-1]
+def _ranges(buf: np.ndarray, starts: np.ndarray, most: int):
+    """The starts in ranges of suffix order of about `most`, by their first 16 bytes; starts that share those with no other
+    one stand in no repeat and are left out. Each start has 16 bytes after it."""
+    raw = buf.tobytes()
+    at = np.ndarray((max(0, len(raw) - 7),), ">u8", raw, strides=(1,))
+    high, low = at[starts].astype(np.uint64), at[starts + 8].astype(np.uint64)
+    order = np.lexsort((low, high))
+    near = np.zeros(len(order), bool)
+    near[1:] = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
     new = np.flatnonzero(~near)
     near[:-1] |= near[1:]
-    edge = np.concatenate([new[np.flatnonzero(np.diff(new // most, prepend=-1))], [len(h)]])
+    edge = np.concatenate([new[np.flatnonzero(np.diff(new // most, prepend=-1))], [len(order)]])
     for i, j in zip(edge[:-1], edge[1:], strict=True):
         some = order[i:j][near[i:j]]
         if len(some):
@@ -178,8 +166,9 @@ def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes:
 
     First every block sends the hashes of its anchors, and buckets answer which occur twice. Then only the text
     around those goes to the bucket of its anchor, each distinct string once from a block with its first place.
-    The bucket puts starts in suffix order, about `most` at a time, all starts of equal strings together; where the
-    longest previous factor of a start reaches `span`, an earlier copy exists. An anchor that occurs `hot` times or more is dealt by its whole strings, so no bucket
+    The bucket puts starts in suffix order, about `most` at a time, in ranges by their first 16 bytes, and finds their
+    longest previous factors by the previous and next smaller positions. Factors are followed up to `span` bytes; where
+    one reaches that, an earlier copy exists. An anchor that occurs `hot` times or more is dealt by its whole strings, so no bucket
     gathers all that surrounds one passage.
     """
     import pyarrow as pa
@@ -251,23 +240,14 @@ def suffix_dedup(docs: DataFrame, span: int = 100, gram: int = 40, block_bytes:
         buf = np.frombuffer(raw, np.uint8)
         count, doc, at = (np.concatenate([g[k] for g in got]) for k in range(3))
         end = np.cumsum(count + span - 1)
-        whole, seen = np.zeros(len(count), bool), set()
-        order = np.lexsort((at, doc))
-        for i, p, q in zip(order.tolist(), (end - count - span + 1)[order].tolist(), end[order].tolist(), strict=True):
-            if (string := raw[p:q]) in seen:
-                whole[i] = True  # all of it stands in an earlier context
-            else:
-                seen.add(string)
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         context = np.repeat(np.arange(len(count), dtype=np.int32), count)
         starts = np.repeat(end - count - span + 1, count) + inner
-        later = whole[context]
-        some = np.flatnonzero(~later)
-        for part in _parts(common.Rolling(buf), starts[some], span, most):
-            part = some[part]
+        later = np.zeros(len(starts), bool)
+        for part in _ranges(buf, starts, most):
             c = context[part]
-            ranked = part[np.lexsort((at[c] + inner[part], doc[c]))]
-            later[ranked] = _repeats(*suffix_order(buf, starts[ranked], span), span)
+            ranked = part[np.lexsort((at[c] + inner[part], doc[c]))]  # in text order
+            later[ranked] = longest_previous(*suffix_order(buf, starts[ranked], span)) >= span
         cut = np.cumsum([0] + [int(g[0].sum()) for g in got])
         return pa.table({
             "block": table.column("block"),
