@@ -50,6 +50,7 @@ class _Block:
         first, other = self.first[some], np.zeros(len(some), np.uint64)
         for i in range(self.span):
             other = common.mix(other * np.uint64(3) + self.words[first + i])
+        other >>= np.uint64(24)
         order = np.lexsort((other, self.hash[some]))
         h, g = self.hash[some][order], other[order]
         new = np.ones(len(order), bool)
@@ -80,7 +81,7 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
     held by a third of all documents sends one hash from each block, and buckets count in how many documents it
     occurs. Only windows that occur twice are sent again, with a second hash of their words and the smallest id that
     has them in the block; buckets answer a bit for each, whether a smaller id has the same window elsewhere. Windows
-    count as equal if both hashes are, 128 bits in all; the second mixes word by word, and words are hashed likewise.
+    count as equal if both hashes are, 104 bits in all; the second mixes word by word, and words are hashed likewise.
     """
     import pyarrow as pa
 
@@ -162,9 +163,9 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
         })
 
     sent, answer = "bucket int, block int, sent binary", "block int, bucket int, bits binary"
-    counted = dealt.groupBy("block").applyInArrow(send, sent).groupBy("bucket").applyInArrow(count, answer).withColumn("later", F.lit(False))
+    counted = dealt.groupBy("block").applyInArrow(send, sent).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(count, answer).withColumn("later", F.lit(False))
     again = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(send_again, sent)
-    judged = again.groupBy("bucket").applyInArrow(judge, answer).withColumn("later", F.lit(True))
+    judged = again.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(judge, answer).withColumn("later", F.lit(True))
     return (
         dealt.groupBy("block")
         .cogroup(counted.unionByName(judged).groupBy("block"))
