@@ -265,3 +265,20 @@ def indicators(found: DataFrame, by: str = "chunk_id") -> DataFrame:
 def whole_documents(docs: DataFrame) -> DataFrame:
     """Each document as one chunk."""
     return docs.select("doc_id", F.concat(F.lit("c-"), F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"), "text", F.lit(0).alias("char_start"))
+
+
+def register(spark, tlds=fixed.TLDS, name: str = "extract_iocs") -> None:
+    """Extraction as a table function for SQL: extract_iocs(chunk_id, text, char_start) gives a row for each match, with the
+    columns chunk_id, type, value, normalized, text_span, char_start and char_end. A null text has none, a null char_start is 0."""
+    known = tuple(tlds)
+
+    class Matches:
+        def __init__(self):
+            self.find = Finder(known)
+
+        def eval(self, chunk_id: str, text: str, char_start: int):
+            for kind, _, raw, value, span, i, j in self.find(text) if text is not None else ():
+                yield chunk_id, kind, raw, value, span, (char_start or 0) + i, (char_start or 0) + j
+
+    columns = "chunk_id string, type string, value string, normalized string, text_span string, char_start int, char_end int"
+    spark.udtf.register(name, F.udtf(Matches, returnType=columns))

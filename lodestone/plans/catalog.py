@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normal, text
-from ..operators import audit, extract, ingest, records, score, stix, validate
+from ..operators import audit, extract, ingest, layout, records, score, stix, validate
 from ..sources import tables, writers
 from . import report
 
@@ -458,6 +458,18 @@ def document_dedup(spark, sf_dir):
     return ingest.distinct_documents(table(spark, sf_dir, "documents"))
 
 
+@query()
+def section_chunks(spark, sf_dir):
+    return layout.section_chunks(table(spark, sf_dir, "documents")).withColumn("text_sha", F.sha2("text", 256)).drop("text")
+
+
+@query(f"{_EVIDENCE}\nSELECT chunk_id, type, raw AS value, normalized, raw AS text_span, char_start, char_end FROM e")
+def ioc_table_function(spark, sf_dir):
+    extract.register(spark)
+    corpus(spark, sf_dir).createOrReplaceTempView("extract_iocs_texts")
+    return spark.sql("SELECT x.* FROM extract_iocs_texts t, LATERAL extract_iocs('c-' || t.doc_id || '-0', t.text, 0) x")
+
+
 @query("SELECT doc_id, lang, CASE WHEN lang = 'en' THEN NULL ELSE 'unsupported_language' END AS error_code FROM documents")
 def language_gate(spark, sf_dir):
     return ingest.language_gate(table(spark, sf_dir, "documents")).select("doc_id", "lang", "error_code")
@@ -755,3 +767,18 @@ def section_of_span(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKED.replace("chr(10)", "char(10)")).alias("text"))
     spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(9)).cast("array<bigint>")).alias("char_start"))
     return ingest.enclosing(spans, ingest.sections(docs))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, lang, {_MARKED} AS t FROM documents), p AS (SELECT doc_id, lang, t, length(t) AS size, strpos(t, '## Sub') - 1 AS sub, strpos(t, '# Last') - 1 AS last FROM t)
+SELECT doc_id, sha256(t) AS text_sha, 'Part ' || doc_id || ':1:0-' || sub || '|Sub:2:' || sub || '-' || last || '|Last:1:' || last || '-' || size AS sections,
+  '0|' || (length('Part ' || doc_id) + 3) || '|' || sub || '|' || (sub + 7) || '|' || last || '|' || (last + 7) AS line_starts, 'md' AS source_format, lang AS language FROM p"""
+)
+def parsed_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(_MARKED.replace("chr(10)", "char(10)")).alias("text"))
+    rows = layout.parsed(docs, F.lit("md"), F.col("lang"))
+    section = lambda x: F.concat(x["name"], F.lit(":"), x["level"], F.lit(":"), x["char_start"], F.lit("-"), x["char_end"])
+    return rows.select(
+        "doc_id", F.sha2("text", 256).alias("text_sha"), F.array_join(F.transform("sections", section), "|").alias("sections"),
+        F.array_join(F.transform("offset_map", lambda x: x["char_idx"].cast("string")), "|").alias("line_starts"), "source_format", "language",
+    )
