@@ -40,7 +40,8 @@ def best_match(item: list, text: list) -> int:
             score -= 1
         ph, mh = ph << 1 & full, mh << 1 & full
         up, down = mh | ~(xv | ph) & full, ph & xv
-        best = min(best, score)
+        if score < best:
+            best = score
     return best
 
 
@@ -107,6 +108,7 @@ class Items:
                 same.setdefault(hashes[low:high].tobytes(), []).extend([i] * n)
         self.ids = list(same.values())
         self.words = [np.frombuffer(w, np.uint64) for w in same]
+        self.distinct = [frozenset(w.tolist()) for w in self.words]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.edits = edits_allowed(self.size, similarity)
         self.longest = int(self.size.max(initial=0))
@@ -153,10 +155,11 @@ def _windows(hashes: np.ndarray, doc: np.ndarray, before: np.ndarray, items: Ite
         first = np.arange(len(hashes) - q + 1)
         first = first[doc[: len(first)] == doc[q - 1 :]]
         value = common.Rolling(hashes).of(first, first + q)
-        low, high = np.searchsorted(h, value), np.searchsorted(h, value, side="right")
-        near = np.flatnonzero(high > low)
-        for part in _slices((high - low)[near]):
-            p, s = _pairs(low[near[part]], high[near[part]])
+        low = np.searchsorted(h, value)
+        near = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == value)
+        low, high = low[near], np.searchsorted(h, value[near], side="right")
+        for part in _slices(high - low):
+            p, s = _pairs(low[part], high[part])
             p = first[near[part]][p]
             start = np.maximum(p - at[s], before[:-1][doc[p]])
             both = np.unique(start * (items.longest + 1) + size[s])
@@ -195,7 +198,10 @@ def matches(texts: list[bytes], items: Items) -> list[tuple[int, int, int]]:
             if found.get(key, e + 1) == 0:
                 continue
             low, high = max(int(before[d]), int(start[w]) - e), min(int(before[d + 1]), int(start[w]) + int(items.size[i]) + e)
-            edits = best_match(items.words[i].tolist(), hashes[low:high].tolist())
+            text = hashes[low:high].tolist()
+            if len(items.distinct[i].difference(text)) > e:
+                continue  # each word that the text lacks costs an edit
+            edits = best_match(items.words[i].tolist(), text)
             if edits <= e and edits < found.get(key, e + 1):
                 found[key] = edits
     return [(d, i, e) for (d, i), e in sorted(found.items())]
