@@ -155,9 +155,10 @@ def lexical_search(docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
 def resolve_aliases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """The entity of each mention by the first stage that finds one: exact alias, then its normal form.
 
-    mentions: mention_id, name; aliases: alias, entity_id. Of several entities the smallest id counts.
+    mentions: mention_id, name; aliases: alias, entity_id. Of several entities the smallest id counts. Names without a
+    letter or digit have no normal form.
     """
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    plain = lambda c: F.nullif(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""), F.lit(""))
     exact = aliases.groupBy(F.col("alias").alias("name")).agg(F.min("entity_id").alias("e1"))
     loose = aliases.groupBy(plain(F.col("alias")).alias("plain")).agg(F.min("entity_id").alias("e2"))
     out = mentions.withColumn("plain", plain(F.col("name"))).join(exact, "name", "left").join(loose, "plain", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normal, text
-from ..operators import audit, extract, ingest, layout, records, score, stix, validate
+from ..operators import audit, extract, ingest, layout, records, score, search, stix, validate
 from ..sources import tables, writers
 from . import report
 
@@ -684,6 +684,61 @@ def kg_traversal(spark, sf_dir):
     return score.reachable(spark, edges, "n1", depth=2)
 
 
+_COSINE = "round(list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[]))), 6)"
+
+
+@query(
+    f"""WITH a AS (SELECT n_name AS alias, n_nationkey::bigint AS entity_id, embedding FROM nation LEFT JOIN embeddings ON vec_id = n_nationkey),
+m AS (SELECT c_custkey::bigint AS mention_id, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) || '.' WHEN 2 THEN '?' WHEN 3 THEN 'Group ' || n_nationkey ELSE 'nobody' END AS name, CASE WHEN c_custkey % 5 = 2 THEN embedding END AS e
+  FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN embeddings ON vec_id = c_custkey % 40),
+v AS (SELECT mention_id, entity_id, similarity FROM (SELECT mention_id, entity_id, similarity, row_number() OVER (PARTITION BY mention_id ORDER BY similarity DESC, entity_id) AS r
+  FROM (SELECT mention_id, entity_id, {_COSINE.format(a="m.e", b="a.embedding")} AS similarity FROM m, a WHERE m.e IS NOT NULL AND a.embedding IS NOT NULL)) WHERE r = 1 AND similarity >= 0.9)
+SELECT m.mention_id, CASE mention_id % 5 WHEN 0 THEN x.entity_id WHEN 1 THEN l.entity_id WHEN 2 THEN v.entity_id WHEN 3 THEN g.entity_id END AS entity_id,
+  CASE mention_id % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' WHEN 2 THEN CASE WHEN v.entity_id IS NOT NULL THEN 'embedding' END WHEN 3 THEN 'attack' END AS stage, v.similarity
+FROM m LEFT JOIN a x ON x.alias = m.name LEFT JOIN a l ON lower(l.alias) || '.' = m.name LEFT JOIN v USING (mention_id) LEFT JOIN a g ON 'Group ' || g.entity_id = m.name"""
+)
+def alias_cascade(spark, sf_dir):
+    """Names of customers' nations in five disguises, by all four stages."""
+    nation, vectors, k = table(spark, sf_dir, "nation"), table(spark, sf_dir, "embeddings"), F.col("c_custkey") % 5
+    key = F.col("n_nationkey")
+    aliases = nation.join(vectors, F.col("vec_id") == key, "left").select(F.col("n_name").alias("alias"), key.cast("long").alias("entity_id"), "embedding", F.concat(F.lit("G"), F.lpad(key.cast("string"), 4, "0")).alias("attack_id"))
+    references = nation.select(F.concat(F.lit("GROUP-"), key.cast("string")).alias("name"), F.concat(F.lit("G"), F.lpad(key.cast("string"), 4, "0")).alias("attack_id"))
+    name = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lower("n_name"), F.lit("."))).when(k == 2, "?").when(k == 3, F.concat(F.lit("Group "), key.cast("string"))).otherwise("nobody")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == key).join(vectors, F.col("vec_id") == F.col("c_custkey") % 40, "left")
+    return search.resolve_entities(rows.select(F.col("c_custkey").cast("long").alias("mention_id"), name.alias("name"), F.when(k == 2, F.col("embedding")).alias("embedding")), aliases, references)
+
+
+@query(
+    f"""WITH i AS (SELECT CASE vec_id % 2 WHEN 0 THEN 'attack' ELSE 'ontology' END AS corpus, vec_id AS item_id, 'note ' || vec_id % 7 AS text, 'v' || vec_id AS source, embedding FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, corpus, item_id, text, source, {_COSINE.format(a="i.embedding", b="q.embedding")} AS similarity FROM i, embeddings q WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus ORDER BY similarity DESC, item_id) AS rank FROM s)
+SELECT query_id, corpus, item_id, text, source, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY similarity DESC, corpus, item_id) AS nth FROM r WHERE rank <= 5) WHERE nth = 1"""
+)
+def typed_context(spark, sf_dir):
+    """Every vector whose id is divisible by 100 asks two corpora; texts that both return stay once."""
+    rows, v = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    items = rows.select(v.alias("item_id"), F.concat(F.lit("note "), (v % 7).cast("string")).alias("text"), F.concat(F.lit("v"), v.cast("string")).alias("source"), "embedding")
+    both = search.corpora(attack=items.where("item_id % 2 = 0"), ontology=items.where("item_id % 2 <> 0"))
+    return search.context(both, rows.where("vec_id % 100 = 0"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT 'n' || user_id AS source_ref, 'n' || (event_id % 150) AS target_ref FROM events),
+h(node, hops) AS (SELECT 'n1', 0 UNION SELECT e.target_ref, h.hops + 1 FROM h JOIN e ON e.source_ref = h.node WHERE h.hops < 2),
+t AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: x = 'und')) AS t1 FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM documents)),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY t0 + t1 DESC, (t0 > 0)::int + (t1 > 0)::int DESC, doc_id) AS rank FROM t WHERE t0 + t1 > 0),
+v AS (SELECT doc_id, row_number() OVER (ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT a.vec_id AS doc_id, {_COSINE.format(a="a.embedding", b="q.embedding")} AS similarity FROM embeddings a, embeddings q WHERE q.vec_id = 0)),
+g AS (SELECT doc_id, row_number() OVER (ORDER BY hops, doc_id) AS rank FROM (SELECT doc_id, min(hops) AS hops FROM documents JOIN h ON node = 'n' || doc_id % 150 GROUP BY doc_id)),
+r AS (SELECT doc_id, l.rank AS lexical_rank, v.rank AS vector_rank, g.rank AS graph_rank FROM (SELECT * FROM l WHERE rank <= 100) l FULL JOIN (SELECT * FROM v WHERE rank <= 100) v USING (doc_id) FULL JOIN (SELECT * FROM g WHERE rank <= 100) g USING (doc_id))
+SELECT doc_id, round(coalesce(1.0::double / (lexical_rank + 60), 0) + coalesce(1.0::double / (vector_rank + 60), 0) + coalesce(1.0::double / (graph_rank + 60), 0), 9) AS score, lexical_rank, vector_rank, graph_rank FROM r ORDER BY score DESC, doc_id LIMIT 10"""
+)
+def unified_search(spark, sf_dir):
+    docs, vectors, n = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "embeddings"), lambda c: F.concat(F.lit("n"), c.cast("string"))
+    edges = table(spark, sf_dir, "events").select(n(F.col("user_id")).alias("source_ref"), n(F.col("event_id") % 150).alias("target_ref"))
+    asked = list(vectors.where("vec_id = 0").first().embedding)
+    return search.unified_search(spark, docs, vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), edges, docs.select("doc_id", n(F.col("doc_id") % 150).alias("node")), ["the", "und"], asked, "n1", hops=2)
+
+
 # --- records ---
 
 

@@ -62,3 +62,36 @@ def tlds(spark: SparkSession, *paths: str) -> tuple[str, ...]:
 def exchange(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of the exchange model; a line that doesn't fit has nulls and its text in `corrupt`."""
     return spark.read.schema(EXCHANGE + ", corrupt string").option("columnNameOfCorruptRecord", "corrupt").json(path)
+
+
+SNAPSHOT = """
+  objects array<struct<type:string,id:string,name:string,description:string,aliases:array<string>,x_mitre_aliases:array<string>,revoked:boolean,x_mitre_deprecated:boolean,
+  external_references:array<struct<source_name:string,external_id:string>>,kill_chain_phases:array<struct<kill_chain_name:string,phase_name:string>>>>
+"""
+KINDS = {"attack-pattern": "technique", "x-mitre-tactic": "tactic", "intrusion-set": "group", "malware": "software", "tool": "software"}
+
+
+def attack(spark: SparkSession, path: str) -> DataFrame:
+    """Techniques, tactics, groups and software of ATT&CK bundles (JSON, one a file): attack_id, stix_id, kind, name,
+    description, aliases, tactics, parent_id (of sub-techniques), active (neither revoked nor deprecated).
+
+    Objects without an id of their own in ATT&CK are left out. A file is one bundle, so it is read in one task.
+    """
+    kind = F.coalesce(*(F.when(F.col("o.type") == t, F.lit(k)) for t, k in KINDS.items()))
+    own = F.filter("o.external_references", lambda r: r["source_name"] == "mitre-attack")
+    attack_id = F.try_element_at(own, F.lit(1))["external_id"]
+    rows = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path).select(F.explode("objects").alias("o")).select(attack_id.alias("attack_id"), F.col("o.id").alias("stix_id"), kind.alias("kind"), "o")
+    lists = F.concat(F.coalesce("o.aliases", F.array().cast("array<string>")), F.coalesce("o.x_mitre_aliases", F.array().cast("array<string>")))
+    tactics = F.transform(F.filter("o.kill_chain_phases", lambda p: p["kill_chain_name"] == "mitre-attack"), lambda p: p["phase_name"])
+    parent = F.when((F.col("kind") == "technique") & F.contains("attack_id", F.lit(".")), F.substring_index("attack_id", ".", 1))
+    return rows.where(F.col("kind").isNotNull() & F.col("attack_id").isNotNull()).select(
+        "attack_id", "stix_id", "kind", F.col("o.name").alias("name"), F.col("o.description").alias("description"), F.array_sort(F.array_except(F.array_distinct(lists), F.array("o.name"))).alias("aliases"),
+        F.array_sort(F.coalesce(tactics, F.array().cast("array<string>"))).alias("tactics"), parent.alias("parent_id"),
+        (~(F.coalesce("o.revoked", F.lit(False)) | F.coalesce("o.x_mitre_deprecated", F.lit(False)))).alias("active"),
+    )
+
+
+def attack_names(snapshot: DataFrame) -> DataFrame:
+    """Each name and other name of active groups and software, with its id: name, attack_id."""
+    own = snapshot.where(F.col("active") & F.col("kind").isin("group", "software"))
+    return own.select(F.explode(F.concat(F.array("name"), "aliases")).alias("name"), "attack_id").where(F.col("name").isNotNull()).distinct()
