@@ -135,10 +135,57 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_main
+
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
+#: The markup of these pages is plain enough for SQL: one article without nested boxes, five references.
+OP11_SQL = r"""
+WITH p AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(a, '</?(p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS b FROM p),
+d AS (SELECT page_id, url, list_transform(b, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS b FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, cast(count(*) AS hugeint) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, cast(count(*) AS hugeint) AS v, cast(sum(n) AS hugeint) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, cast(count(*) AS hugeint) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, cast(coalesce(sum(n), 0) AS hugeint) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (s.n + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.n + 2 * l.v) AS q
+      FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, cast(coalesce(x.value, 0) AS bigint) AS value
+      FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'term' AS part, term AS item, cast(((p - q) * (p - q)) // (p + q) AS bigint) AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS int) AS rank FROM (SELECT * FROM y UNION ALL SELECT * FROM z))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_decontamination, op3_suffix_dedup, op4_bpe, op5_language_id, op6_line_dedup, op7_license_scan, op8_substring_dedup, op9_warc, op10_exact_dedup)
+    found = (op1_near_dedup, op2_decontamination, op3_suffix_dedup, op4_bpe, op5_language_id, op6_line_dedup, op7_license_scan, op8_substring_dedup, op9_warc, op10_exact_dedup, op11_html_extraction, op12_spelling_variants, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_license_scan": op7_sql(), "op8_substring_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_license_scan": op7_sql(), "op8_substring_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_html_extraction": OP11_SQL, "op13_source_divergence": OP13_SQL}
