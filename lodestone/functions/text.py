@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-#: Rewrites can make room for others; no text needs more passes than this.
-PASSES = 4
-
-
 def java(pattern: str) -> str:
     """The pattern with Java's Unicode classes and boundaries, which are Python's."""
     return pattern.replace("(?i)", "(?iU)", 1) if pattern.startswith("(?i)") else f"(?U){pattern}"
@@ -46,12 +42,18 @@ def defanged(text: Column) -> Column:
 
 
 def refang(text: Column) -> Column:
-    """The text with all rewrites applied until none applies. Offsets aren't kept: operators.extract keeps them."""
-    out = text
-    for _ in range(PASSES):
-        for pattern, new in fixed.DEFANG:
-            out = F.regexp_replace(out, java(pattern), new)
-    return out
+    """The text with all rewrites applied until none applies, however deep they nest.
+
+    Only texts to which a rewrite applies go to Python, where each is read once. Offsets aren't kept: operators.extract keeps them.
+    """
+
+    @F.pandas_udf("string")
+    def read(s: pd.Series) -> pd.Series:
+        from ..operators.extract import refanged
+
+        return pd.Series([None if x is None else refanged(x)[0] for x in s], dtype=object)
+
+    return F.coalesce(read(F.when(defanged(text), text)), text)
 
 
 def redact(text: Column) -> tuple[Column, Column]:

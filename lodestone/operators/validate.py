@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import fixed
+from ..functions import fixed, pattern
 
 ISSUE = ("layer", "code", "target_id")
 TECHNIQUE = r"^T[0-9]{4}(\.[0-9]{3})?$"
@@ -122,41 +128,177 @@ def attack_references(objects: DataFrame) -> DataFrame:
     return bad.unionByName(_issues(phases.where(~F.coalesce(F.col("p.phase_name"), F.lit("")).isin(*fixed.TACTICS)), "semantic", "invalid_attack_tactic", F.col("id")))
 
 
-#: The fields of bundled objects, and those that must be there.
-FIELDS = {
-    "indicator": ("confidence", "created", "description", "external_references", "id", "indicator_types", "kill_chain_phases", "modified", "name", "pattern", "pattern_type", "pattern_version", "spec_version", "type", "valid_from"),
-    "report": ("created", "description", "external_references", "id", "modified", "name", "object_refs", "published", "report_types", "spec_version", "type"),
+# Properties of STIX 2.1 objects by kind. Those of every object come first; a star marks what must be there.
+COMMON = {
+    "string*": ("type",), "id*": ("id",), "version*": ("spec_version",), "time*": ("created", "modified"), "ref": ("created_by_ref",), "bool": ("revoked",), "strings": ("labels",), "percent": ("confidence",), "string": ("lang",),
+    "references": ("external_references",), "refs": ("object_marking_refs",), "any": ("granular_markings", "extensions"),
 }
-REQUIRED = {
-    "indicator": ("created", "id", "modified", "pattern", "pattern_type", "spec_version", "type", "valid_from"),
-    "report": ("created", "id", "modified", "name", "object_refs", "published", "spec_version", "type"),
+PROPERTIES = {
+    "indicator": {"string": ("name", "description", "pattern_version"), "strings": ("indicator_types",), "string*": ("pattern", "pattern_type"), "time*": ("valid_from",), "time": ("valid_until",), "phases": ("kill_chain_phases",)},
+    "report": {"string*": ("name",), "string": ("description",), "strings": ("report_types",), "time*": ("published",), "refs*": ("object_refs",)},
+    "relationship": {"string*": ("relationship_type",), "string": ("description",), "ref*": ("source_ref", "target_ref"), "time": ("start_time", "stop_time")},
+    "malware": {"string": ("name", "description"), "bool*": ("is_family",), "strings": ("malware_types", "aliases", "architecture_execution_envs", "implementation_languages", "capabilities"), "time": ("first_seen", "last_seen"), "phases": ("kill_chain_phases",), "refs": ("operating_system_refs", "sample_refs")},
+    "tool": {"string*": ("name",), "string": ("description", "tool_version"), "strings": ("tool_types", "aliases"), "phases": ("kill_chain_phases",)},
+    "attack-pattern": {"string*": ("name",), "string": ("description",), "strings": ("aliases",), "phases": ("kill_chain_phases",)},
+    "threat-actor": {"string*": ("name",), "string": ("description", "sophistication", "resource_level", "primary_motivation"), "strings": ("threat_actor_types", "aliases", "roles", "goals", "secondary_motivations", "personal_motivations"), "time": ("first_seen", "last_seen")},
+    "intrusion-set": {"string*": ("name",), "string": ("description", "resource_level", "primary_motivation"), "strings": ("aliases", "goals", "secondary_motivations"), "time": ("first_seen", "last_seen")},
+    "campaign": {"string*": ("name",), "string": ("description", "objective"), "strings": ("aliases",), "time": ("first_seen", "last_seen")},
+    "infrastructure": {"string*": ("name",), "string": ("description",), "strings": ("infrastructure_types", "aliases"), "time": ("first_seen", "last_seen"), "phases": ("kill_chain_phases",)},
+    "vulnerability": {"string*": ("name",), "string": ("description",)},
+    "identity": {"string*": ("name",), "string": ("description", "identity_class", "contact_information"), "strings": ("roles", "sectors")},
 }
+#: Pairs of times whose second may not be before the first, and pairs where it must be after it.
+NOT_BEFORE = (("created", "modified"), ("first_seen", "last_seen"))
+AFTER = (("valid_from", "valid_until"), ("start_time", "stop_time"))
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+_STAMP = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?Z", re.ASCII)
+_ID = re.compile(f"([a-z0-9-]+)--{_UUID}")
+
+
+def _time(x) -> datetime | None:
+    try:
+        return datetime.fromisoformat(x) if isinstance(x, str) and _STAMP.fullmatch(x) else None
+    except ValueError:
+        return None
+
+
+def _text(x) -> bool:
+    return isinstance(x, str) and x != ""
+
+
+def _each(test):
+    """A list with one item at least, all of which pass."""
+    return lambda x: isinstance(x, list) and len(x) > 0 and all(map(test, x))
+
+
+def _ref(x) -> bool:
+    return isinstance(x, str) and _ID.fullmatch(x) is not None
+
+
+#: Whether a value is of a kind, as json.loads gives it. Whole numbers may be written as text, as STIX libraries read them.
+KINDS = {
+    "any": lambda x: x is not None,
+    "string": _text,
+    "bool": lambda x: isinstance(x, bool),
+    "version": lambda x: x == "2.1",
+    "time": lambda x: _time(x) is not None,
+    "percent": lambda x: not isinstance(x, bool) and isinstance(x, (int, str)) and re.fullmatch(r"\d{1,3}", str(x), re.ASCII) is not None and int(x) <= 100,
+    "ref": _ref,
+    "refs": _each(_ref),
+    "strings": _each(_text),
+    "phases": _each(lambda p: isinstance(p, dict) and _text(p.get("kill_chain_name")) and _text(p.get("phase_name"))),
+    "references": _each(lambda r: isinstance(r, dict) and _text(r.get("source_name")) and any(_text(r.get(k)) for k in ("description", "url", "external_id"))),
+}
+
+
+def _kinds() -> dict[str, dict[str, tuple]]:
+    """Of each type its properties: (test, whether it must be there)."""
+    return {t: {name: (kind.rstrip("*"), kind.endswith("*")) for group in (COMMON, own) for kind, names in group.items() for name in names} for t, own in PROPERTIES.items()}
+
+
+def object_problems(o: dict, known: dict) -> Iterator[tuple[str, str]]:
+    """(field, problem) of one object."""
+    own = known.get(o.get("type")) if isinstance(o.get("type"), str) else None
+    if own is None:
+        yield "type", "unknown_type"
+        return
+    for name in o:
+        if name not in own:
+            yield name, "unknown_field"
+    for name, (kind, required) in own.items():
+        if name not in o:
+            if required:
+                yield name, "missing"
+        elif not ((m := _ID.fullmatch(o[name])) and m[1] == o["type"] if kind == "id" and isinstance(o[name], str) else kind != "id" and KINDS[kind](o[name])):
+            yield name, "bad_value"
+    for pairs, strict in ((NOT_BEFORE, False), (AFTER, True)):
+        for first, second in pairs:
+            if first in o and second in o and first in own and second in own and (a := _time(o[first])) and (b := _time(o[second])) and (b <= a if strict else b < a):
+                yield second, "bad_order"
+    if o.get("pattern_type") == "stix" and _text(o.get("pattern")) and pattern.comparisons_of(o["pattern"]) is None:
+        yield "pattern", "bad_pattern"
+
+
+def _pairs_once(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
+def bundle_problems(text: str | None, known: dict) -> Iterator[tuple[str | None, str | None, str]]:
+    """(object id, field, problem) of one bundle's JSON."""
+    try:
+        b = json.loads(text or "", object_pairs_hook=_pairs_once)
+    except (ValueError, RecursionError):
+        b = None
+    whole = isinstance(b, dict) and b.keys() == {"id", "objects", "type"} and b["type"] == "bundle" and _ref(b["id"]) and b["id"].startswith("bundle--") and isinstance(b["objects"], list)
+    if not whole or not all(isinstance(o, dict) for o in b["objects"]):
+        yield None, None, "no_bundle"
+        return
+    for o in b["objects"]:
+        for field, problem in object_problems(o, known):
+            yield o["id"] if isinstance(o.get("id"), str) else None, field, problem
 
 
 def semantic(objects: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
-    """All semantic checks of bundled objects; columns that `objects` lacks hold nothing to check."""
+    """All semantic checks of bundled objects; columns that `objects` lacks hold nothing to check.
+
+    What an object says of itself is checked where it stands, in one reading; only its references are joined.
+    """
     wanted = {
         "object_refs": "array<string>", "pattern": "string", "pattern_type": "string",
         "external_references": "array<struct<source_name:string,external_id:string>>", "kill_chain_phases": "array<struct<kill_chain_name:string,phase_name:string>>",
     }
     whole = objects.select("doc_id", "id", *(F.col(c) if c in objects.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()))
-    out = report_closure(whole).unionByName(indicator_fields(whole)).unionByName(attack_references(whole))
+    own, absent = F.col("id").startswith("indicator--"), lambda c: F.coalesce(c, F.lit("")) == ""
+    code = lambda name: lambda _: F.lit(name)
+    references = F.filter("external_references", lambda r: (r["source_name"] == "mitre-attack") & ~F.coalesce(r["external_id"], F.lit("")).rlike(TECHNIQUE))
+    phases = F.filter("kill_chain_phases", lambda p: (p["kill_chain_name"] == "mitre-attack") & ~F.coalesce(p["phase_name"], F.lit("")).isin(*fixed.TACTICS))
+    none = F.array().cast("array<string>")
+    codes = F.concat(
+        F.array_compact(F.array(F.when(own & absent("pattern"), "indicator_missing_pattern"), F.when(own & absent("pattern_type"), "indicator_missing_pattern_type"))),
+        F.coalesce(F.transform(references, code("invalid_attack_external_id")), none), F.coalesce(F.transform(phases, code("invalid_attack_tactic")), none),
+    )
+    told = whole.select("doc_id", "id", F.explode(codes).alias("code")).select("doc_id", F.lit("semantic").alias("layer"), "code", F.col("id").alias("target_id"))
+    out = report_closure(whole).unionByName(told)
     if relationships is None:
         return out
     return out.unionByName(relationship_closure(relationships, whole)).unionByName(relationship_vocabulary(relationships))
 
 
+def parse_problems(bundles: DataFrame) -> DataFrame:
+    """What a strict parse finds wrong in bundles, a row for each problem: doc_id, bundle_id, object_id, field, problem.
+
+    bundles: doc_id, bundle_id, bundle_json. Problems: no_bundle (text that isn't JSON, or not an object with exactly the
+    fields of a bundle and an id of its kind), unknown_type, unknown_field, missing, bad_value (a value that isn't of the
+    property's kind: ids, references, times, percentages, lists, phases), bad_order (times that run backwards) and
+    bad_pattern (a `stix` pattern outside of the grammar). A null text is no bundle; a repeated key is no JSON. Each bundle
+    is read once, in Arrow batches and without a shuffle.
+    """
+    import pyarrow as pa
+
+    known = _kinds()
+
+    def read(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column("bundle_json").to_pylist()):
+                for row in bundle_problems(text, known):
+                    at.append(i)
+                    rows.append(row)
+            told = zip(*rows, strict=True) if rows else ([], [], [])
+            kept = b.drop_columns(["bundle_json"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, pa.string()) for c in told)], names=["doc_id", "bundle_id", "object_id", "field", "problem"])
+
+    keys = bundles.select("doc_id", "bundle_id", "bundle_json")
+    told = [T.StructField(c, T.StringType()) for c in ("object_id", "field", "problem")]
+    return keys.mapInArrow(read, T.StructType([keys.schema["doc_id"], keys.schema["bundle_id"], *told]))
+
+
 def strict_parse(bundles: DataFrame) -> DataFrame:
-    """Bundles whose JSON isn't an object with exactly the fields of a bundle, or whose objects lack required fields
-    or have others than STIX defines. bundles: doc_id, bundle_id, bundle_json."""
-    top = F.from_json("bundle_json", "struct<id:string,type:string,objects:array<string>>")
-    rows = bundles.select("doc_id", "bundle_id", top.alias("b"), F.sort_array(F.json_object_keys("bundle_json")).alias("keys"))
-    shape = F.coalesce((F.col("b.type") == "bundle") & F.col("b.id").startswith("bundle--") & (F.concat_ws(" ", "keys") == "id objects type"), F.lit(False))
-    objects = rows.where(shape).select("doc_id", "bundle_id", F.explode_outer("b.objects").alias("o")).select("doc_id", "bundle_id", F.get_json_object("o", "$.type").alias("t"), F.json_object_keys("o").alias("k"))
-    ok = F.lit(False)
-    for t, known in FIELDS.items():
-        ok = ok | ((F.col("t") == t) & (F.size(F.array_except("k", F.array(*map(F.lit, known)))) == 0) & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED[t])), F.col("k"))) == 0))
-    bad = rows.where(~shape).select("doc_id", "bundle_id").unionByName(objects.where(~F.coalesce(ok, F.lit(False))).select("doc_id", "bundle_id")).distinct()
+    """An issue for each bundle in which parse_problems finds any. bundles: doc_id, bundle_id, bundle_json."""
+    bad = parse_problems(bundles).select("doc_id", "bundle_id").distinct()
     return _issues(bad, "parse", "stix_parse_error", F.col("bundle_id"))
 
 

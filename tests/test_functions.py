@@ -20,6 +20,8 @@ REFANG = [
     ("HXXP[://]a(.)b[d]c[@]d fxp://e", "http://a.b.c@d ftp://e"),
     ("[D] [dot] {.}", "[D] [dot] {.}"),
     ("hxx​ps://a", "https://a"),
+    *(("a" + "[" * n + "." + "]" * n + "com", "a.com") for n in range(1, 13)),
+    ("h[h[h[.]]]x", "h[h[h.]]x"),
 ]
 
 
