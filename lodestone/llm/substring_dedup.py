@@ -44,15 +44,17 @@ class _Block:
         return out
 
     def compared(self, twice: np.ndarray):
-        """Of windows whose hash occurs twice: which they are, the distinct ones by hash and a second hash that mixes in
-        word after word, the first window of each, and of every such window its place among the distinct ones."""
+        """Of windows whose hash occurs twice: which they are, the distinct ones by a digest of their bytes (BLAKE2, 128 bits
+        in two halves), the first window of each, and of every such window its place among the distinct ones."""
         some = np.flatnonzero(twice[self.place])
-        first, other = self.first[some], np.zeros(len(some), np.uint64)
-        for i in range(self.span):
-            other = common.mix(other * np.uint64(3) + self.words[first + i])
-        other >>= np.uint64(24)
-        order = np.lexsort((other, self.hash[some]))
-        h, g = self.hash[some][order], other[order]
+        split = [w for t in self.texts for w in t.split()]
+        end = np.cumsum(np.fromiter((len(w) + 1 for w in split), np.int64, len(split))) - 1
+        data, first = b" ".join(split), self.first[some]
+        starts, stops = np.concatenate([[0], end + 1])[first].tolist(), end[first + self.span - 1].tolist()
+        digest = b"".join([hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(starts, stops, strict=True)])
+        high, low = np.frombuffer(digest, "<u8").reshape(-1, 2).T
+        order = np.lexsort((low, high))
+        h, g = high[order], low[order]
         new = np.ones(len(order), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         place = np.empty(len(order), np.int64)
@@ -79,9 +81,9 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
 
     Documents are hashed to blocks. A block sends each distinct window hash once to the bucket of the hash, so a window
     held by a third of all documents sends one hash from each block, and buckets count in how many documents it
-    occurs. Only windows that occur twice are sent again, with a second hash of their words and the smallest id that
-    has them in the block; buckets answer a bit for each, whether a smaller id has the same window elsewhere. Windows
-    count as equal if both hashes are, 104 bits in all; the second mixes word by word, and words are hashed likewise.
+    occurs. Only windows that occur twice are sent again, as a digest of their bytes with the smallest id that has them in
+    the block; buckets answer a bit for each, whether a smaller id has the same window elsewhere. Windows count as equal
+    if BLAKE2 gives them the same 128 bits, so words whose 64-bit hashes collide are told apart.
     """
     import pyarrow as pa
 

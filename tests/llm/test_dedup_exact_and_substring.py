@@ -123,3 +123,19 @@ def test_suffix_dedup(spark, rows, hot):
 def test_empty_tables(spark):
     for op in (exact_dedup, substring_dedup, suffix_dedup):
         assert op(frame(spark, [])).count() == 0
+
+
+#: Two words of one 64-bit hash, found by trying.
+COLLIDE = ("IK2,ck7,rw+Et7sD", 'hwPO7kfQ"~?NDj\\)')
+
+
+def test_words_of_equal_hashes_are_told_apart(spark):
+    import numpy as np
+
+    from lodestone.llm import common
+
+    hashes, _ = common.words([w.encode() for w in COLLIDE])
+    assert np.unique(hashes).size == 1
+    tail = " ".join(f"w{i}" for i in range(1, 13))
+    df = spark.createDataFrame([(1, f"{COLLIDE[0]} {tail}"), (2, f"{COLLIDE[1]} {tail}"), (3, f"x {COLLIDE[1]} {tail}")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df).collect()} == {1: (13, 0), 2: (13, 0), 3: (14, 13)}
