@@ -26,16 +26,27 @@ def html_documents(pages: DataFrame, least: int = 200) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """Markdown headings: doc_id, name, level, char_start, char_end (to the next heading or the end). Fenced code is no heading."""
-    rows = lines(docs)
-    w = Window.partitionBy("doc_id").orderBy("line")
-    fence = F.sum(F.col("text").rlike("^\\s*(```|~~~)").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    heads = rows.withColumn("fence", fence).where((F.col("fence") % 2 == 0) & F.col("text").rlike(r"^#{1,6}\s+\S"))
-    ends = docs.select("doc_id", F.length("text").alias("size"))
-    return heads.join(ends, "doc_id").select(
-        "doc_id", F.regexp_extract("text", r"^#{1,6}\s+(.*?)\s*#*\s*$", 1).alias("name"), F.length(F.regexp_extract("text", "^(#{1,6})", 1)).alias("level"), "char_start",
-        F.lead("char_start").over(w).alias("next"), "size",
-    ).select("doc_id", "name", "level", "char_start", F.coalesce("next", "size").alias("char_end"))
+    """Markdown headings: doc_id, name, level, char_start, char_end (to the next heading or the end). Fenced code is no heading.
+
+    A text is read where it is, in Arrow batches; no line is shuffled. A null text has no sections.
+    """
+    import pyarrow as pa
+
+    from .layout import outline
+
+    def read(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, s in enumerate(b.column("text").to_pylist()):
+                for name, start, end, level in outline(s)[0] if s else ():
+                    at.append(i)
+                    rows.append((name, level, start, end))
+            told = zip(*rows, strict=True) if rows else ((), (), (), ())
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(told, kinds, strict=True))], names=["doc_id", "name", "level", "char_start", "char_end"])
+
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("name string, level int, char_start long, char_end long").fields])
+    return docs.select("doc_id", "text").mapInArrow(read, schema)
 
 
 def lines(docs: DataFrame) -> DataFrame:

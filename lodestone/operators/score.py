@@ -203,3 +203,24 @@ def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
         return F.round(low + (high - low) * share, 6)
 
     return placed.groupBy(F.col("g").alias(by)).agg(*(at(q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)), F.max("n").alias("n"))
+
+
+#: Error of a rank, as a share of all rows, that sketches with SKETCH_K hold at 99 %.
+SKETCH_K, RANK_ERROR = 400, 0.0075
+
+
+def daily_sketches(rows: DataFrame, by: str, value: str, day: str = "day") -> DataFrame:
+    """A KLL sketch of each group's values of a day: by, day, sketch, n. Null values don't count.
+
+    Sketches are of bounded size and are merged where rows are read, so no group's values meet in a task. They may be stored
+    and merged later, a day or an hour at a time.
+    """
+    return rows.groupBy(by, day).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch"), F.count(value).alias("n"))
+
+
+def merged_percentiles(sketches: DataFrame, by: str) -> DataFrame:
+    """p50, p95 and p99 of each group over all its days, and the number of rows. What is said to be a percentile is one of the
+    values, whose rank is off by RANK_ERROR at most (at 99 %). Groups without a value have null percentiles."""
+    whole = sketches.groupBy(by).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.sum("n").alias("n"))
+    at = lambda q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return whole.select(by, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), "n")

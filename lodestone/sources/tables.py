@@ -42,6 +42,53 @@ def append(rows: DataFrame, name: str, database: str = "default") -> None:
     first.join(held.select(*key), list(key), "left_anti").select(*held.columns).write.mode("append").insertInto(f"{database}.{name}")
 
 
+class Unit:
+    """A unit of work over several tables: rows are staged first, and go into the tables at the commit or not at all.
+
+    A failure while rows are computed leaves every table as it was. A commit that is broken off is repeated with `commit` on a
+    Unit of the same name: what is staged is still there, rows whose keys arrived stay single, and the staged rows go last.
+    As a context it commits at the end, or rolls back if its block fails.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, database: str = "default"):
+        self.spark, self.database = spark, database
+        self.path = f"{shared_folder(spark)}/unit-{name}"
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def stage(self, rows: DataFrame, name: str) -> None:
+        """Computes rows for a table and keeps them aside; staging a table again in the unit replaces its rows."""
+        if name not in TABLES:
+            raise KeyError(name)
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def staged(self) -> list[str]:
+        """Tables whose rows are whole, in the order of TABLES, in which those that others refer to come first."""
+        files, path = self._files()
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [n for n in TABLES if files.exists(done(f"{self.path}/{n}/_SUCCESS"))] if files.exists(path) else []
+
+    def commit(self) -> list[str]:
+        names = self.staged()
+        for name in names:
+            append(self.spark.read.parquet(f"{self.path}/{name}"), name, self.database)
+        self.rollback()
+        return names
+
+    def rollback(self) -> None:
+        """Forgets what is staged."""
+        files, path = self._files()
+        files.delete(path, True)
+
+    def __enter__(self) -> Unit:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.commit() if kind is None else self.rollback()
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
     """A table of a database, split by options as spark.read.jdbc takes them (column, lowerBound, upperBound, numPartitions)."""
     return spark.read.jdbc(url, name, **options)
