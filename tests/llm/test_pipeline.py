@@ -51,3 +51,16 @@ def test_corpus_without_usable_labels_passes(spark, folder, lang):
     docs = spark.read.parquet(f"{folder}/documents.parquet").drop("lang").selectExpr("doc_id", "text", f"cast({repr(lang) if lang else 'null'} as string) lang", "source", "n_chars")
     kept = corpus_pipeline.identify(spark, docs, folder).collect()
     assert len(kept) == docs.count() - 2 and not {103, 104} & {r.doc_id for r in kept}
+
+
+def test_empty_tables_and_extra_columns(spark, folder, tmp_path):
+    """An empty corpus and an empty benchmark go through all stages; columns beside those of documents are left behind."""
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    for name, d, b in (("none", docs.limit(0), items), ("nothing", docs.limit(0), items.limit(0))):
+        d.selectExpr("*", "1 AS block", "'x' AS carry0", "'y' AS kept").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        b.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
+    more = docs.selectExpr("*", "1 AS block", "'x' AS carry0", "'y' AS kept")
+    assert corpus_pipeline.identify(spark, more, folder).columns == list(corpus_pipeline.COLUMNS)
+    bare = corpus_pipeline.decontaminated(spark, docs, f"{tmp_path}/nothing")
+    assert bare.count() == docs.count()
