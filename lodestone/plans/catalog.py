@@ -891,4 +891,4 @@ def parsed_documents(spark, sf_dir):
     )
 
 
-from . import exports, retrieval  # noqa: E402, F401  register their queries
+from . import exports, ingestion, retrieval  # noqa: E402, F401  register their queries
