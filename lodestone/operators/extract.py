@@ -246,7 +246,7 @@ def evidence_id(chunk_id: Column, start: Column, end: Column, kind: Column) -> C
 def evidence(found: DataFrame) -> DataFrame:
     """One row for each span and type of a chunk; in a chunk of equal spans the first stands."""
     good = found.where(F.col("error_code").isNull())
-    return good.select("doc_id", "chunk_id", "type", "text_span", "char_start", "char_end", "evidence_id").dropDuplicates(["chunk_id", "type", "char_start", "char_end"])
+    return good.select("doc_id", "chunk_id", "type", "text_span", "char_start", "char_end", "evidence_id").dropDuplicates(["doc_id", "chunk_id", "type", "char_start", "char_end"])
 
 
 def indicators(found: DataFrame, by: str = "chunk_id") -> DataFrame:

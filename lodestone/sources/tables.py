@@ -117,8 +117,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: what comes before is neither planned nor run again."""
-    path = f"{shared_folder(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, by: str | None = None, deal: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: what comes before is neither planned nor run again.
+
+    With `by` the table is bucketed by that column, in as many buckets as shuffles have partitions, so that groupings and joins
+    by it read the buckets and shuffle nothing. `deal` shuffles the rows to their buckets first; rows that stand by `by` already
+    need that not.
+    """
+    spark, name = df.sparkSession, f"lodestone_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n, by) if deal else df
+    rows.write.bucketBy(n, by).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
