@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources import tables
+
 # Weights of the composite and thresholds of routing.
 WEIGHTS = {"extractor": 0.25, "coverage": 0.20, "agreement": 0.20, "ontology": 0.20, "stix": 0.15}
 REVIEW, REJECT = 0.55, 0.30
@@ -188,13 +190,18 @@ def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
 def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """p50, p95 and p99 of each group, interpolated, and the number of rows.
 
-    Equal values are counted first; then a running count, which spills, tells where each percentile lies. Groups without
-    a value have null percentiles.
+    Equal values are counted first. Values are then dealt by range, whole groups or parts of them; a part's running count goes on
+    from the sum of the parts before it, so no task meets all values of a large group. Ranges are drawn from a sample, so what
+    is dealt is written before it is read twice. Groups without a value have null percentiles.
     """
     counts = rows.groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(value).alias("c"))
+    dealt = tables.written(counts.repartitionByRange(F.asc_nulls_first("g"), F.asc_nulls_first("v")).withColumn("part", F.spark_partition_id()))
     whole = Window.partitionBy("g")
-    upto = F.sum("c").over(whole.orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select("g", "v", upto.alias("upto"), F.sum("c").over(whole).alias("n"))
+    parts = dealt.groupBy("g", "part").agg(F.sum("c").alias("c")).select(
+        F.col("g").alias("of"), F.col("part").alias("at"), F.sum("c").over(whole).alias("n"), (F.sum("c").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before")
+    )
+    upto = F.sum("c").over(Window.partitionBy("g", "part").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.join(parts, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))).select("g", "v", (F.col("before") + upto).alias("upto"), "n")
 
     def at(q: float):
         place = (F.col("n") - 1) * F.lit(q)
