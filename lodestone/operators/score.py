@@ -92,11 +92,12 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int =
     return rows.select(F.col("a.query_id").alias("query_id"), "corpus", "vec_id", cos.alias("similarity")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_all(vectors: DataFrame, queries: DataFrame, k: int = 5, corpora: str = "label", block: int = 512) -> DataFrame:
+def nearest_all(vectors: DataFrame, queries: DataFrame, k: int = 5, corpora: str = "label", block: int = 512, side: int = 64 << 20) -> DataFrame:
     """As nearest, for a table of queries (vec_id, embedding) of any size.
 
-    Both sides are packed into blocks of rows, each block of queries meets each block of vectors in one matrix product,
-    and only the k best of a corpus in a pair of blocks go on. Vectors without a length have no similarity and no rank.
+    Both sides are packed into blocks of rows once, as tables, and dealt to a grid whose cells hold about `side` bytes of each.
+    Blocks of a cell are joined by its place; each block of queries meets each block of vectors in one matrix product, and only
+    the k best of a corpus in a pair of blocks go on. Vectors are sent once for each `side` bytes of queries. Vectors without a length have no similarity and no rank.
     """
     import numpy as np
     import pyarrow as pa
@@ -135,7 +136,11 @@ def nearest_all(vectors: DataFrame, queries: DataFrame, k: int = 5, corpora: str
 
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(None).cast(kind).alias("corpus"), "embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(corpora).alias("corpus"), "embedding")
-    pairs = packed(rows, 8 * block).crossJoin(packed(asked, block).select(F.col("ids").alias("query_ids"), F.col("x").alias("q")))
+    held, sought = tables.written(packed(rows, 8 * block)), tables.written(packed(asked, block).select(F.col("ids").alias("query_ids"), F.col("x").alias("q")))
+    across, down = (max(1, -(-(df.agg(F.sum(F.length(c))).first()[0] or 0) // side)) for df, c in ((held, "x"), (sought, "q")))
+    place, every = (lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = held.select("*", place("ids", across).alias("i"), every(down).alias("j"))
+    pairs = cells.join(sought.select("*", every(across).alias("i"), place("query_ids", down).alias("j")), ["i", "j"]).drop("i", "j")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("corpus", kind), T.StructField("vec_id", T.LongType()), T.StructField("similarity", T.DoubleType())])
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("similarity"), "vec_id")
     return pairs.mapInArrow(best, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

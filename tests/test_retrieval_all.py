@@ -11,6 +11,8 @@ def test_blocks_give_what_one_list_gives(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     asked = [(i, list(r.embedding)) for i, r in ((r.vec_id, r) for r in df.where("vec_id % 100 = 0").collect())]
     want = sorted(map(tuple, score.nearest(df, asked).collect()))
-    for block in (2, 512):
-        got = sorted(map(tuple, score.nearest_all(df, df.where("vec_id % 100 = 0"), block=block).collect()))
+    for block, side in ((2, 1 << 20), (2, 100), (512, 64 << 20)):
+        found = score.nearest_all(df, df.where("vec_id % 100 = 0"), block=block, side=side)
+        assert "NestedLoop" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+        got = sorted(map(tuple, found.collect()))
         assert got == want and {r[0] for r in got} == set(range(0, 700, 100))
