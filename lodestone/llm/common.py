@@ -57,14 +57,15 @@ def own_id(name: str = "doc_id") -> Column:
     return F.nullif(F.col(name), F.lit(NULL_ID)).alias(name)
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = 4 << 20, least: int = 48) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, block_bytes: int = 4 << 20, least: int = 48, apart: bool = False) -> tuple[DataFrame, int]:
     """Documents dealt by a hash of their id to blocks of about block_bytes of text, and the number of blocks.
 
-    The number follows the whole input's size, so a block fits in a task at any size of the input.
+    The number follows the whole input's size, so a block fits in a task at any size of the input. With `apart` the text
+    counts too: rows that share an id, or have none, come to different blocks, unless they are equal.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(least, -(-total // block_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", *(["text"] if apart else [])), F.lit(n)).cast("int")), n
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -104,7 +105,7 @@ _KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each range of bytes, eight bytes at a time, each step mixed over all bits; ranges over 64 bytes by
-    BLAKE2. Unlike a polynomial it has no family of texts that collide."""
+    BLAKE2. Each step can be inverted, so words that collide can be made: equal hashes only propose equal words."""
     size = end - start
     h = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
     at = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
@@ -118,6 +119,28 @@ def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h
 
 
+def told_apart(data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hashes of the ranges, or the ranks of their bytes from 2 on if two that differ have one hash."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    a, b = order[~new], first[~new]
+    size = (end - start)[a]
+    same = bool((size == (end - start)[b]).all())
+    at = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    some, k = np.flatnonzero(size <= 64), 0
+    while same and len(some):
+        left = np.minimum(size[some] - k, 8)
+        same = not ((at[start[a[some]] + k] ^ at[start[b[some]] + k]) & _KEPT[left]).any()
+        some, k = some[size[some] > k + 8], k + 8
+    if same and all(data[start[a[i]] : end[a[i]]] == data[start[b[i]] : end[b[i]]] for i in np.flatnonzero(size > 64).tolist()):
+        return h
+    own = [data[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+    rank = {w: i for i, w in enumerate(sorted(set(own)), 2)}
+    return np.array([rank[w] for w in own], np.uint64)
+
+
 def trim() -> None:
     """Gives freed memory back to the machine, so that workers that live on don't hold their largest task's."""
     import ctypes

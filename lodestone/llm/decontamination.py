@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from . import common
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
 
 def edits_allowed(n, similarity: float):
     """Word edits within which a window still has the similarity to an item of n words."""
@@ -102,13 +105,14 @@ class Items:
     def __init__(self, rows: list[tuple[int, bytes, int]], similarity: float, repeats: int, tables: int, sampled: int):
         rows = sorted(rows)
         hashes, before = common.words([t for _, t, _ in rows], _SEPARATOR)
-        same: dict[bytes, list[int]] = {}
-        for (i, _, n), low, high in zip(rows, before[:-1], before[1:], strict=True):
+        same: dict[bytes, tuple[np.ndarray, list[int]]] = {}
+        for (i, t, n), low, high in zip(rows, before[:-1], before[1:], strict=True):
             if high > low:
-                same.setdefault(hashes[low:high].tobytes(), []).extend([i] * n)
-        self.ids = list(same.values())
-        self.words = [np.frombuffer(w, np.uint64) for w in same]
-        self.distinct = [frozenset(w.tolist()) for w in self.words]
+                same.setdefault(b" ".join(_WORD.findall(t)), (hashes[low:high], []))[1].extend([i] * n)
+        self.ids = [ids for _, ids in same.values()]
+        self.words = [w for w, _ in same.values()]
+        self.raw = [t.split(b" ") for t in same]  # what verifies; hashes only propose
+        self.distinct = [frozenset(w) for w in self.raw]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.edits = edits_allowed(self.size, similarity)
         self.longest = int(self.size.max(initial=0))
@@ -191,6 +195,7 @@ def matches(texts: list[bytes], items: Items) -> list[tuple[int, int, int]]:
         return []
     doc = np.repeat(np.arange(len(texts)), np.diff(before))
     found: dict[tuple[int, int], int] = {}
+    split: dict[int, list[bytes]] = {}
     for start, size in _windows(hashes, doc, before, items):
         for w, i in _retrieved(hashes, before[1:][doc[start]], start, size, items):
             d = int(doc[start[w]])
@@ -198,10 +203,12 @@ def matches(texts: list[bytes], items: Items) -> list[tuple[int, int, int]]:
             if found.get(key, e + 1) == 0:
                 continue
             low, high = max(int(before[d]), int(start[w]) - e), min(int(before[d + 1]), int(start[w]) + int(items.size[i]) + e)
-            text = hashes[low:high].tolist()
+            if d not in split:
+                split[d] = _WORD.findall(texts[d])
+            text = split[d][low - int(before[d]) : high - int(before[d])]
             if len(items.distinct[i].difference(text)) > e:
                 continue  # each word that the text lacks costs an edit
-            edits = best_match(items.words[i].tolist(), text)
+            edits = best_match(items.raw[i], text)
             if edits <= e and edits < found.get(key, e + 1):
                 found[key] = edits
     return [(d, i, e) for (d, i), e in sorted(found.items())]
@@ -212,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
 
     Words are compared in lower case without punctuation. A document holds an item of n words if some run of its
     words is at most (1 - similarity) n word insertions, deletions and replacements away; similarity is
-    1 - edits / n. Item-sized windows are taken wherever a run of words stands that the allowed edits must leave
+    1 - edits / n. Hashes only propose; the edits are counted between the words themselves. Item-sized windows are taken wherever a run of words stands that the allowed edits must leave
     whole (one in e + 1 parts), so no match is ruled out before the LSH; of windows that match, a key is equal in one
     of repeats * tables tables with probability above 0.99 if a fifth of the steps agree. Nulls and texts or items
     without words give no rows; repeated rows give rows each; null ids are kept; extra columns are ignored.

@@ -18,9 +18,10 @@ _MARK = b"\x00"  #: a variable field's text in what blocks send
 
 
 class Lines:
-    """All lines of some texts: their tokens' hashes, with tokens that hold a digit or are marked as fields.
+    """All lines of some texts: their tokens' hashes, with tokens that hold a digit or a NUL as fields.
 
-    A line of such tokens alone keeps their hashes and has a leaf of its own.
+    A line of such tokens alone keeps their hashes and has a leaf of its own. `leaf` is a hash that is the same
+    everywhere. Among these lines equal tokens and keys stand for equal bytes: where hashes collide, ranks replace them.
     """
 
     def __init__(self, texts: list[bytes], depth: int):
@@ -32,14 +33,17 @@ class Lines:
         edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
         begin, stop = edge[::2], edge[1::2]
         token = common.hash_words(self.bytes, begin, stop)
+        token[token == _FIELD] = np.uint64(2)
+        own = common.told_apart(self.bytes, begin, stop, token)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[buf] | (buf == 0), dtype=np.int32)])
         field = digits[stop] > digits[begin]
         self.first = np.searchsorted(begin, self.start)
         self.n = np.diff(self.first, append=len(begin))
         fields = np.concatenate([[0], np.cumsum(field, dtype=np.int32)])
         bare = (self.n > 0) & (fields[self.first + self.n] - fields[self.first] == self.n)  # these keep their tokens
-        token[field & ~np.repeat(bare, self.n)] = _FIELD
-        self.token, self.begin, self.stop = token, begin, stop
+        token = np.where(field & ~np.repeat(bare, self.n), _FIELD, token)
+        own = np.where(field & ~np.repeat(bare, self.n), _FIELD, own)
+        self.token, self.begin, self.stop, self.bare = own, begin, stop, bare
         place = (np.arange(len(token)) - np.repeat(self.first, self.n)).astype(np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(token ^ common.mix(place + np.uint64(1))))])
         self.key = common.mix(sums[self.first + self.n] - sums[self.first] + self.n.astype(np.uint64))
@@ -49,8 +53,26 @@ class Lines:
             leaf[has] = common.mix(leaf[has] * np.uint64(31) + token[self.first[has] + i])
         leaf[bare] = common.mix(self.key[bare])  # a leaf of its own for each
         self.leaf = leaf
+        self.key = self._apart(own if (own == token).all() else None)
+        self.lead = [np.where(self.n > i, own[np.minimum(self.first + i, max(len(own) - 1, 0))], 0) if len(own) else self.n for i in range(depth)]
         self.doc = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
 
+    def _apart(self, hashed: np.ndarray | None) -> np.ndarray:
+        """The keys, or ranks of the lines' tokens if keys were not made of these tokens or two lines that differ have one."""
+        order = np.argsort(self.key, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = self.key[order][1:] != self.key[order][:-1]
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        a, b = order[~new], first[~new]
+        if hashed is not None and (self.n[a] == self.n[b]).all():
+            n = self.n[a]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if (hashed[np.repeat(self.first[a], n) + inner] == hashed[np.repeat(self.first[b], n) + inner]).all():
+                return self.key
+        whole = [self.token[i : i + n].tobytes() for i, n in zip(self.first.tolist(), self.n.tolist(), strict=True)]
+        rank = {w: i for i, w in enumerate(sorted(set(whole)))}
+        return np.array([rank[w] for w in whole], np.uint64)
+
     def masked(self, i: int) -> bytes:
         """A line from its first to its last token; with fields its tokens joined by a space, fields as marks."""
         a, n = self.first[i], self.n[i]
@@ -147,7 +169,7 @@ class _Block:
 def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float = 0.7, block_bytes: int = 4 << 20, least_blocks: int = 48, crowd: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256, kept_text, and the columns named in `carry`.
 
-    Lines end at a newline; tokens are runs of anything but ASCII white space; a token with a digit is a variable
+    Lines end at a newline; tokens are runs of anything but ASCII white space; a token with a digit or a NUL is a variable
     field. Lines with as many tokens and the same `depth` leading tokens share a leaf of the tree, whatever their
     fields. In a leaf, lines in the order of their smallest id join the template most like them, if the share
     `alike` of their tokens agrees and a constant one among them, and where they differ the template gets a field. So
@@ -156,7 +178,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     lines always stay. Null texts are empty; a null or empty text has one blank line; a null id counts as the largest;
     rows that repeat an id count as one document; extra columns are ignored.
 
-    Documents are hashed to blocks. A block sends each distinct line once, with its smallest ids, to the bucket of its
+    Tokens and lines are equal if their bytes are, whatever their hashes. Documents are hashed to blocks by id and text, so
+    rows without an id are spread too; a text is never split, so one beyond `block_bytes` is a block of its own. A block sends each distinct line once, with its smallest ids, to the bucket of its
     leaf, at any size of the leaf. The bucket parses a leaf in one go, with an index over templates where they are more
     than `crowd`, which changes no result. It answers with the smallest id of each recurring template, and the block
     drops lines by that.
@@ -164,7 +187,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
     import pyarrow as pa
     import zstandard
 
-    dealt, n_blocks = common.in_blocks(common.documents(docs, carry=carry), block_bytes, least_blocks)
+    dealt, n_blocks = common.in_blocks(common.documents(docs, carry=carry), block_bytes, least_blocks, apart=True)
     n_buckets = n_blocks
 
     def send(table):
@@ -195,9 +218,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, alike: float
         group, doc = _least_docs(key[np.concatenate(group)], np.concatenate(doc), min_docs)
         first = doc[np.searchsorted(group, np.arange(len(at)))]
         template = np.arange(len(at))
-        leaf = lines.leaf[at]
-        order = np.lexsort((lines.key[at], first, leaf))
-        edge = np.flatnonzero(np.concatenate([[True], leaf[order][1:] != leaf[order][:-1], [True]]))
+        bare = lines.bare[at]
+        leaf = [lines.leaf[at], lines.n[at], bare, np.where(bare, lines.key[at], 0), *(x[at] for x in lines.lead)]
+        order = np.lexsort((lines.key[at], first, *leaf[::-1]))
+        differs = np.any([x[order][1:] != x[order][:-1] for x in leaf], axis=0)
+        edge = np.flatnonzero(np.concatenate([[True], differs, [True]]))
         for i in np.flatnonzero(np.diff(edge) > 1).tolist():
             own = order[edge[i] : edge[i + 1]]
             n = lines.n[at[own[0]]]

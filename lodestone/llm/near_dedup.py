@@ -122,6 +122,7 @@ class Text:
     """A text ready to be compared."""
 
     def __init__(self, text: bytes):
+        self.bytes = text
         self.words, _ = common.words([text])
         h, _ = kmers(self.words, np.array([0, len(self.words)]))
         self.kmers = np.sort(labelled(h, np.zeros(len(h), np.int64)))
@@ -137,12 +138,17 @@ def jaccard(a: Text, b: Text) -> float:
 
 
 def linked(a: Text, b: Text, threshold: float) -> bool:
-    """Whether an alignment of fewest edits matches k-mers to the threshold. Only called if all k-mers reach it."""
+    """Whether an alignment of fewest edits matches k-mers to the threshold. Only called if all k-mers reach it.
+
+    Words are compared as they are: equal hashes make texts more alike, never less, so they only propose pairs.
+    """
     n = len(a.kmers) + len(b.kmers)
-    if min(len(a.words), len(b.words)) < K:
-        return True
+    number: dict[bytes, int] = {}
+    one, other = (np.array([number.setdefault(w, len(number)) for w in t.bytes.split()], np.int64) for t in (a, b))
+    if min(len(one), len(other)) < K:
+        return np.array_equal(one, other)
     # of all k-mers at most this many are unmatched at the threshold, and a word edit leaves one at least
-    found = align(a.words, b.words, n - 2 * int(threshold / (1 + threshold) * n) + 2 * K)
+    found = align(one, other, n - 2 * int(threshold / (1 + threshold) * n) + 2 * K)
     return found is not None and found[1] >= (threshold - 1e-9) * (n - found[1])
 
 

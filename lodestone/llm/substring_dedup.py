@@ -79,7 +79,8 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
     removed runs. A null or empty text has no words and an empty kept text; rows that repeat an id are judged
     each, and never against each other; a null id counts as the largest. Extra columns are ignored.
 
-    Documents are hashed to blocks. A block sends each distinct window hash once to the bucket of the hash, so a window
+    Documents are hashed to blocks by id and text, so rows without an id, or with the same one, are spread too; a text is
+    never split, so one beyond `block_bytes` is a block of its own. A block sends each distinct window hash once to the bucket of the hash, so a window
     held by a third of all documents sends one hash from each block, and buckets count in how many documents it
     occurs. Only windows that occur twice are sent again, as a digest of their bytes with the smallest id that has them in
     the block; buckets answer a bit for each, whether a smaller id has the same window elsewhere. Windows count as equal
@@ -87,7 +88,7 @@ def substring_dedup(docs: DataFrame, span: int = 13, block_bytes: int = 4 << 20,
     """
     import pyarrow as pa
 
-    dealt, n_blocks = common.in_blocks(common.documents(docs), block_bytes, least_blocks)
+    dealt, n_blocks = common.in_blocks(common.documents(docs), block_bytes, least_blocks, apart=True)
     n_buckets = -(-n_blocks // 4)
 
     def message(table, cut, **columns):
