@@ -52,9 +52,66 @@ NOTICES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights", ""),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ""),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "license version 1 0"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+     "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+     "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+     "AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+     "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+     "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+     "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+     "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", ""),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+     "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+     "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+     "contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS "
+     "SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+     "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+     "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+     "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+     "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+     "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "neither the name of"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+     "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+     "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not "
+     "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in "
+     "the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
+     "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.", ""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+     "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+     "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+     "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+     "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+     "under copyright law.", ""),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+     "documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to "
+     "prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+     "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+     "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+     "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.", ""),
+    ("MIT", "The MIT License (MIT)", ""),
+    ("GPL-2.0", "GNU General Public License version 2 as published by the Free Software Foundation", "gnu general public license version 2 as"),
+    ("GPL-3.0", "GNU General Public License version 3 as published by the Free Software Foundation", "gnu general public license version 3 as"),
+    ("GPL-2.0", "Licensed under the GNU General Public License v2.0", "gnu general public license v2 0"),
+    ("GPL-3.0", "Licensed under the GNU General Public License v3.0", "gnu general public license v3 0"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License v2.1", "gnu lesser general public license v2 1"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License v3.0", "gnu lesser general public license v3 0"),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License v3.0", "gnu affero general public license v3 0"),
+    ("LGPL-2.0", "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", "gnu library general public license / either version 2 of"),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "creative commons attribution 3 0 unported"),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "creative commons attribution sharealike 3 0 unported"),
+    ("CC-BY-NC-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.", "creative commons attribution noncommercial 3 0 unported"),
+    ("CC-BY-ND-3.0", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License.", "creative commons attribution noderivs 3 0 unported"),
+    ("CC-BY-NC-SA-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "creative commons attribution noncommercial sharealike 3 0 unported"),
+    ("CC-BY-NC-ND-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", "creative commons attribution noncommercial noderivs 3 0 unported"),
 ]
-#: Licences whose conditions hold another one's: where the first is found, the second isn't reported.
+#: Licences that source files name by a line of their own.
+SPDX = ("Apache-2.0", "MIT", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "BSL-1.0", "Zlib")
+NOTICES += [(name, f"SPDX-License-Identifier: {name}", f"license identifier {name.lower().replace('-', ' ').replace('.', ' ')}") for name in SPDX]
+#: Licences whose conditions hold another one's: where the first is found, the second isn't reported within NEAR words.
 COVERS = {"BSD-3-Clause": "BSD-2-Clause"}
+NEAR = 150
 
 SHINGLE = 3  #: words
 PIECE = 5  #: words of a notice that are looked for as one
@@ -65,8 +122,9 @@ _SPAN = WINDOW - SHINGLE + 1
 
 
 def _seeds() -> list[int]:
+    """Of all 64 bits: a seed without the sign's bit would leave every negative hash before all others in each band."""
     rng = random.Random(7)
-    return [rng.getrandbits(63) for _ in range(BANDS)]
+    return [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS)]
 
 
 def _words(text: Column) -> Column:
@@ -111,10 +169,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None =
     Words are runs of a-z and 0-9 in lower case. containment is the share of a notice's distinct shingles that occur
     around a retrieved window, at most the notice's length away; the best of a licence's notices counts if it
     reaches the threshold. The words that tell a notice from its siblings (its version, Lesser, ShareAlike) must all be
-    there: `must` has them, phrases of three words or more, parted by slashes. A licence that COVERS names as covered by
-    another one of the same document isn't reported. `templates` are (licence, notice, must), a parameter of a few
+    there: `must` has them, phrases of three words or more, parted by slashes. Where a licence is found that COVERS
+    another one, the other isn't reported within NEAR words, but elsewhere in the document it is. `templates` are (licence, notice, must), a parameter of a few
     hundred at most; notices under three words are never found. Null and empty texts give no rows; repeated ids count as
-    one document; null ids are kept; extra columns are ignored.
+    one document; null ids are kept; extra columns are ignored. A text's shingles are an array of a row, however long it is,
+    and windows are exploded from it one by one.
     """
     spark = docs.sparkSession
     known = notices(spark, templates).withColumn("shingles", _shingles(F.col("text"))).where(F.size("shingles") > 0)
@@ -138,8 +197,10 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None =
     around = F.slice("shingles", low + 1, F.col("start") + _SPAN + F.size("wanted") - low)
     # bound to a variable, so that the slice is worked out once
     score = F.get(F.transform(F.array(around), lambda x: F.when(F.size(F.array_except("must", x)) == 0, F.size(F.array_intersect("wanted", x)) / F.size("wanted"))), F.lit(0))
-    scored = retrieved.select("doc_id", "license_id", score.alias("containment"))
-    best = scored.where(F.col("containment") >= containment).groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"))
-    covers = F.create_map(*(F.lit(x) for pair in COVERS.items() for x in pair))
-    covered = F.collect_set(covers[F.col("license_id")]).over(Window.partitionBy("doc_id"))  # a few rows of each document
-    return best.withColumn("covered", covered).where(~F.array_contains("covered", F.col("license_id"))).drop("covered")
+    scored = retrieved.select("doc_id", "license_id", "start", score.alias("containment"))
+    placed = scored.where(F.col("containment") >= containment).groupBy("doc_id", "license_id", "start").agg(F.max("containment").alias("containment"))
+    around = Window.partitionBy("doc_id").orderBy("start").rangeBetween(-NEAR, NEAR)  # the hits of a document
+    for first, second in COVERS.items():
+        covered = F.count(F.when(F.col("license_id") == first, 1)).over(around) > 0
+        placed = placed.withColumn("covered", covered).where(~F.col("covered") | (F.col("license_id") != second)).drop("covered")
+    return placed.groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"))

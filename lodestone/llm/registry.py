@@ -78,7 +78,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sql() -> str:
     """Every window of every document against every notice, without retrieval."""
-    from .license_scan import COVERS, NOTICES, PIECE, SHINGLE, STEP, WINDOW
+    from .license_scan import COVERS, NEAR, NOTICES, PIECE, SHINGLE, STEP, WINDOW
 
     quoted = ", ".join(f"({i}, '{a}', '{b.replace(chr(39), chr(39) * 2)}', '{c}')" for i, (a, b, c) in enumerate(NOTICES))
     span = WINDOW - SHINGLE + 1
@@ -95,9 +95,9 @@ q AS (SELECT template, list_distinct(flatten(list({other}))) AS q FROM (
   SELECT template, regexp_extract_all(unnest(string_split(must, '/')), '[a-z0-9]+') AS v FROM n) GROUP BY template),
 c AS (SELECT doc_id, g, license_id, t, q FROM g, n JOIN q USING (template) WHERE list_has_any(g, t)),
 s AS (SELECT *, unnest(range(0, len(g), {STEP})) AS p FROM c),
-a AS (SELECT doc_id, license_id, t, q, g[greatest(0, p - len(t)) + 1 : p + {span} + len(t)] AS a FROM s),
-r AS (SELECT doc_id, license_id, max(len(list_intersect(t, a)) / len(t)) AS containment FROM a WHERE list_has_all(a, q) AND len(list_intersect(t, a)) / len(t) >= 0.8 GROUP BY ALL)
-SELECT doc_id, license_id, containment FROM r WHERE NOT EXISTS (SELECT 1 FROM (VALUES {covers}) AS k(first, second) JOIN r AS o ON o.license_id = k.first WHERE k.second = r.license_id AND o.doc_id = r.doc_id)
+a AS (SELECT doc_id, license_id, p, t, q, g[greatest(0, p - len(t)) + 1 : p + {span} + len(t)] AS a FROM s WHERE list_has_any(g[p + 1 : p + {span}], t)),
+r AS (SELECT doc_id, license_id, p, max(len(list_intersect(t, a)) / len(t)) AS containment FROM a WHERE list_has_all(a, q) AND len(list_intersect(t, a)) / len(t) >= 0.8 GROUP BY ALL)
+SELECT doc_id, license_id, max(containment) AS containment FROM r WHERE NOT EXISTS (SELECT 1 FROM (VALUES {covers}) AS k(first, second) JOIN r AS o ON o.license_id = k.first WHERE k.second = r.license_id AND o.doc_id = r.doc_id AND abs(o.p - r.p) <= {NEAR}) GROUP BY ALL
 """
 
 
