@@ -121,11 +121,10 @@ def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def told_apart(data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The hashes of the ranges, or the ranks of their bytes from 2 on if two that differ have one hash."""
-    order = np.argsort(h, kind="stable")
-    new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    a, b = order[~new], first[~new]
+    order = np.argsort(h)
+    ranked = h[order]
+    equal = ranked[1:] == ranked[:-1]
+    a, b = order[1:][equal], order[:-1][equal]  # each with the one before it
     size = (end - start)[a]
     same = bool((size == (end - start)[b]).all())
     at = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))

@@ -41,8 +41,10 @@ class Lines:
         self.n = np.diff(self.first, append=len(begin))
         fields = np.concatenate([[0], np.cumsum(field, dtype=np.int32)])
         bare = (self.n > 0) & (fields[self.first + self.n] - fields[self.first] == self.n)  # these keep their tokens
-        token = np.where(field & ~np.repeat(bare, self.n), _FIELD, token)
-        own = np.where(field & ~np.repeat(bare, self.n), _FIELD, own)
+        hidden = field & ~np.repeat(bare, self.n)
+        collide = own is not token
+        token[hidden] = _FIELD
+        own[hidden] = _FIELD
         self.token, self.begin, self.stop, self.bare = own, begin, stop, bare
         place = (np.arange(len(token)) - np.repeat(self.first, self.n)).astype(np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(token ^ common.mix(place + np.uint64(1))))])
@@ -53,21 +55,20 @@ class Lines:
             leaf[has] = common.mix(leaf[has] * np.uint64(31) + token[self.first[has] + i])
         leaf[bare] = common.mix(self.key[bare])  # a leaf of its own for each
         self.leaf = leaf
-        self.key = self._apart(own if (own == token).all() else None)
+        self.key = self._apart(collide)
         self.lead = [np.where(self.n > i, own[np.minimum(self.first + i, max(len(own) - 1, 0))], 0) if len(own) else self.n for i in range(depth)]
         self.doc = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
 
-    def _apart(self, hashed: np.ndarray | None) -> np.ndarray:
-        """The keys, or ranks of the lines' tokens if keys were not made of these tokens or two lines that differ have one."""
-        order = np.argsort(self.key, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = self.key[order][1:] != self.key[order][:-1]
-        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        a, b = order[~new], first[~new]
-        if hashed is not None and (self.n[a] == self.n[b]).all():
-            n = self.n[a]
+    def _apart(self, collide: bool) -> np.ndarray:
+        """The keys, or ranks of the lines' tokens if these collide or two lines that differ have one key."""
+        order = np.argsort(self.key)
+        ranked = self.key[order]
+        equal = ranked[1:] == ranked[:-1]
+        a, b = order[1:][equal], order[:-1][equal]
+        n = self.n[a]
+        if not collide and (n == self.n[b]).all():
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if (hashed[np.repeat(self.first[a], n) + inner] == hashed[np.repeat(self.first[b], n) + inner]).all():
+            if (self.token[np.repeat(self.first[a], n) + inner] == self.token[np.repeat(self.first[b], n) + inner]).all():
                 return self.key
         whole = [self.token[i : i + n].tobytes() for i, n in zip(self.first.tolist(), self.n.tolist(), strict=True)]
         rank = {w: i for i, w in enumerate(sorted(set(whole)))}
