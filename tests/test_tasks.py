@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import gazetteer
 from lodestone.plans import catalog
 from lodestone.sources import tables
 
@@ -24,3 +25,32 @@ def test_rows_of_one_row_group_are_dealt_to_tasks(spark, tmp_path):
         assert largest(made.where("doc_id >= 1000000000")) < 1.1 * (1 << 14) and made.count() == 100_003
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def shuffled(spark, run):
+    """Records that the stages of a run write to shuffles."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    store = sc._jsc.sc().statusStore()
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_names_are_asked_for_once_in_a_block(spark):
+    """Names joined by equality: what is shuffled follows the distinct runs of words, not every place where one stands."""
+    docs = spark.createDataFrame([(i, "cozy bear, fancy bear. " * 2000) for i in range(4)], "doc_id long, text string")
+    names = spark.createDataFrame([("Cozy Bear", 1), ("bear", 2), ("fancy", 3)], "name string, entity_id long")
+    got, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for names that are many
+    try:
+        assert shuffled(spark, lambda: got.append(gazetteer.entity_mentions(docs, names, most_bytes=0).groupBy("entity_id").count().collect())) < 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r["entity_id"], r["count"]) for r in got[0]} == {(1, 8000), (2, 8000), (3, 8000)}
