@@ -127,35 +127,36 @@ def nearest(lists: Lists, queries: DataFrame, k: int = 5, probes: int | None = N
     n = min(len(c), probes or lists.probes)
 
     def probe(batches):
+        """Packs of `block` queries at most, those of a few cells at a time."""
         for b in batches:
             some = np.flatnonzero(b.column("embedding").is_valid())
             x = _matrix(b.column("embedding").take(pa.array(some)))
             long = (x * x).sum(1) > 0
-            ids, x = b.column("vec_id").take(pa.array(some[long])).to_pylist(), x[long]
-            cells = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n] if len(x) else np.zeros((0, n), int)
-            out: dict[str, list] = {"cell": [], "query_ids": [], "q": []}
-            for cell in np.unique(cells):
-                at = np.flatnonzero((cells == cell).any(1))
-                for i in range(0, len(at), block):
-                    part = at[i : i + block]
-                    for key, v in zip(out, (int(cell), [ids[j] for j in part], x[part].tobytes()), strict=True):
-                        out[key].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=list(out))
+            ids, x = b.column("vec_id").take(pa.array(some[long])).to_numpy(), x[long]
+            for i in range(0, len(x), block):
+                part, own = x[i : i + block], ids[i : i + block]
+                cells = np.argsort(-(part @ c.T), axis=1, kind="stable")[:, :n]
+                every = np.unique(cells)
+                for few in np.array_split(every, -(-len(every) // 64)):
+                    at = [np.flatnonzero((cells == cell).any(1)) for cell in few]
+                    yield pa.RecordBatch.from_arrays([pa.array(few, pa.int32()), pa.array([own[j] for j in at], pa.list_(pa.int64())), pa.array([part[j].tobytes() for j in at], pa.binary())], names=["cell", "query_ids", "q"])
 
     def best(batches):
+        """One pack with one block at a time: what is held doesn't follow the rows of a batch."""
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                v, q = (np.frombuffer(r[x]).reshape(len(r[m]), -1) for x, m in (("x", "ids"), ("q", "query_ids")))
+            for i in range(b.num_rows):
+                r = b.slice(i, 1)
+                ids, asking = (r.column(x).flatten().to_numpy() for x in ("ids", "query_ids"))
+                corpora = r.column("corpora").flatten().dictionary_encode(null_encoding="encode")
+                v, q = (np.frombuffer(r.column(x)[0].as_py()).reshape(m, -1) for x, m in (("x", len(ids)), ("q", len(asking))))
                 cos = np.round(_unit(v) @ _unit(q).T, 6)
-                ids = np.array(r["ids"])
-                for name in dict.fromkeys(r["corpora"]):
-                    own = np.array([i for i, x in enumerate(r["corpora"]) if x == name])
-                    for j, query in enumerate(r["query_ids"]):
-                        top = own[np.lexsort((ids[own], -cos[own, j]))[:k]]
-                        out += [(query, name, int(ids[t]), float(cos[t, j])) for t in top]
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), b.schema.field("corpora").type.value_type, pa.int64(), pa.float64()), strict=True)], names=["query_id", "corpus", "vec_id", "similarity"])
+                code, order = corpora.indices.to_numpy(), np.argsort(ids, kind="stable")
+                tops = [own[np.argsort(-cos[own], axis=0, kind="stable")[:k]] for own in (order[code[order] == x] for x in range(len(corpora.dictionary)))]
+                top = np.concatenate(tops)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(asking, len(top))), corpora.dictionary.take(pa.array(code[top].ravel())), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(cos, top, 0).ravel())],
+                    names=["query_id", "corpus", "vec_id", "similarity"],
+                )
 
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(probe, "cell int, query_ids array<long>, q binary")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("corpus", lists.corpus_type), T.StructField("vec_id", T.LongType()), T.StructField("similarity", T.DoubleType())])

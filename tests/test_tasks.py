@@ -1,8 +1,10 @@
 """How many rows and bytes a task gets, whatever files the rows come from."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import gazetteer
+from lodestone.operators import gazetteer, vectors
 from lodestone.plans import catalog
 from lodestone.sources import tables
 
@@ -54,3 +56,23 @@ def test_names_are_asked_for_once_in_a_block(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {(r["entity_id"], r["count"]) for r in got[0]} == {(1, 8000), (2, 8000), (3, 8000)}
+
+
+def test_neighbours_of_a_batch_are_not_held_together(spark, monkeypatch):
+    """A batch of blocks and packs is read pair by pair; each output has the neighbours of one pair at most."""
+    rng, run = np.random.default_rng(3), []
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), f"l{i % 2}") for i in range(40)], "vec_id long, embedding array<double>, label string")
+    lists = vectors.build(rows, cells=2)
+    kind = type(rows)
+    whole = kind.mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda self, f, *a, **k: run.append(f) or whole(self, f, *a, **k))
+        vectors.nearest(lists, rows, k=3)
+    x, q = rng.normal(size=(10, 4)), rng.normal(size=(6, 4))
+    pair = {"ids": list(range(10)), "corpora": ["a", None] * 5, "x": x.tobytes(), "query_ids": list(range(6)), "q": q.tobytes()}
+    batch = pa.RecordBatch.from_pylist([pair] * 30, pa.schema([("ids", pa.list_(pa.int64())), ("corpora", pa.list_(pa.string())), ("x", pa.binary()), ("query_ids", pa.list_(pa.int64())), ("q", pa.binary())]))
+    out = list(run[-1](iter([batch])))
+    assert len(out) == 30 and {b.num_rows for b in out} == {6 * 2 * 3} and len({str(b.to_pylist()) for b in out}) == 1
+    cos = np.round((x @ q.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1), 6)
+    got = {(r["query_id"], r["corpus"], r["vec_id"], r["similarity"]) for r in out[0].to_pylist()}
+    assert got == {(j, c, i, cos[i, j]) for j in range(6) for n, c in enumerate(("a", None)) for i in sorted(range(n, 10, 2), key=lambda i: -cos[i, j])[:3]}
