@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .spelling_variants import lower_ascii
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms alone are left of UTF-8, in small letters; what stands between them becomes spaces.
+_TERMS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+#: Different terms of its groups that a task sums before it sends them on.
+HELD = 1 << 18
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences and documents, summed where texts are read before they are shuffled."""
-    terms = docs.select("lang", "source", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)).alias("t"))
-    # each document's terms twice: all of them, and each once for the number of documents
-    every = F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("t").alias("t"))
-    once = F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.array_distinct("t").alias("t"))
-    rows = terms.select("lang", "source", F.explode(F.array(every, once)).alias("x"))
-    return rows.select("lang", "source", "x.n", "x.d", F.explode("x.t").alias("term")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    import pyarrow as pa
+
+    def sent(held):
+        keys = [(lang, source, term, own[term], n) for (lang, source), (every, own) in held.items() for term, n in every.items()]
+        lang, source, term, d, n = zip(*keys, strict=True) if keys else [()] * 5
+        columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "d"])
+
+    def count(batches):
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
+        for b in batches:
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), common.utf8(b.column("text")), strict=True):
+                every, own = held.setdefault((lang, source), (Counter(), Counter()))
+                terms = text.translate(_TERMS).split()
+                size -= len(every)
+                every.update(terms)
+                own.update(set(terms))
+                size += len(every)
+                if size >= HELD:
+                    yield sent(held)
+                    held, size = {}, 0
+        yield sent(held)
+
+    rows = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, d long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def price(n: Column, total: Column, v: Column) -> Column:

@@ -117,3 +117,20 @@ def test_divergence_of_the_corpus_and_edge_cases(spark):
     assert len(got) == len(set(got)) and set(got) == plain_divergence(rows)
     assert ("zz", "", "pair", "only", 0, 1) in got
     assert divergence(df.limit(0)).count() == 0
+
+
+def test_counts_of_terms_are_whole_however_often_they_are_sent(spark, monkeypatch):
+    """Terms are summed where texts are read, and go on whenever a task holds many; each part counts once."""
+    from lodestone.llm import source_divergence
+
+    monkeypatch.setattr(source_divergence, "HELD", 3)
+    texts = ["Ab aB, Äb\u0085x   a-b", "ab ab 12 c", "", "C d\x00E \U0001f600"] * 5
+    docs = spark.createDataFrame([("l", f"s{i % 2}", t) for i, t in enumerate(texts)], "lang string, source string, text string")
+    n, d = Counter(), Counter()
+    for i, t in enumerate(texts):
+        terms = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        n.update((f"s{i % 2}", x) for x in terms)
+        d.update((f"s{i % 2}", x) for x in set(terms))
+    out = source_divergence.counted(docs)
+    assert {((r.source, r.term), r.n, r.d) for r in out.collect()} == {(x, n[x], d[x]) for x in n}
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()  # no row for each place of a term
