@@ -31,7 +31,7 @@ SELECT sha256(type || '|' || normalized) AS _id, {_case(writers.ELASTIC, 0)} AS
 FROM i WHERE type <> 'cve' GROUP BY type, normalized"""
 )
 def elastic_documents(spark, sf_dir):
-    return writers.elastic_documents(extract.indicators(found(spark, sf_dir), "doc_id"))
+    return writers.elastic_documents(extract.indicators(found(spark, sf_dir, tuple(writers.ELASTIC)), "doc_id"))
 
 
 _OBJECT = "'{\"id\":\"o--' || event_id || '\"}'"

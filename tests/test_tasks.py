@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import gazetteer, vectors
+from lodestone.functions import fixed
+from lodestone.operators import extract, gazetteer, vectors
 from lodestone.plans import catalog
 from lodestone.sources import tables
 
@@ -76,3 +78,25 @@ def test_neighbours_of_a_batch_are_not_held_together(spark, monkeypatch):
     cos = np.round((x @ q.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1), 6)
     got = {(r["query_id"], r["corpus"], r["vec_id"], r["similarity"]) for r in out[0].to_pylist()}
     assert got == {(j, c, i, cos[i, j]) for j in range(6) for n, c in enumerate(("a", None)) for i in sorted(range(n, 10, 2), key=lambda i: -cos[i, j])[:3]}
+
+
+def test_types_not_asked_for_are_not_looked_for(spark, tmp_path, monkeypatch):
+    """A query of some types runs their patterns and no others, and gets the rows that it would have got of all."""
+    line = "CVE-2024-11111 " + "a" * 32 + " " + "B" * 40 + " " + "c" * 64 + " " + "d" * 128 + " AS012 8.8.8.8 https://A.example.com/x (m@b.example.net) 2001:db8::5 evil[.]example.org"
+    docs = spark.createDataFrame([(1, line), (2, None), (3, "nothing"), (4, "only 9.9.9.9"), (5, "١.8.8.8 AS٥")], "doc_id long, text string")
+    chunks = extract.whole_documents(docs)
+    for lane in ("exact", "fast"):
+        every = set(map(tuple, extract.matches(chunks, lane=lane).collect()))
+        for types in (*((k,) for k in fixed.TYPES), ("domain", "url"), ()):
+            assert set(map(tuple, extract.matches(chunks, lane=lane, types=types).collect())) == {r for r in every if r[2] in types}, (lane, types)
+    assert [k for _, k, _ in extract.Finder(fixed.TLDS, ("asn", "ipv4")).patterns] == ["ipv4", "asn"]
+    with pytest.raises(ValueError):
+        extract.matches(chunks, types=("ip",))
+
+    spark.range(3).selectExpr("id AS event_id", "id AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked, whole = [], extract.found
+    monkeypatch.setattr(extract, "found", lambda *a, **k: asked.append(a[3] if len(a) > 3 else k.get("types")) or whole(*a, **k))
+    for name, types in (("ioc_ipv4", ["ipv4"]), ("ioc_domain", ["domain"]), ("ioc_sha512", ["sha512"]), ("ioc_asn", ["asn"]), ("detection_searches", ["ipv4", "domain", "url"])):
+        catalog.QUERIES[name](spark, str(tmp_path))
+        assert list(asked.pop()) == types, name
